@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import canonical, mixing, packing, split, survivor
+from filingloom.llm import canonical, mixing, noise, packing, split, survivor
 from filingloom.operators import nested
 from filingloom.tables import load
 
@@ -41,6 +41,18 @@ def p4_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.consensus(load(spark, sf_dir, "conflict_candidates"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noise.page_items(load(spark, sf_dir, "langqi_restatement_segments"), nested.payload_table(load(spark, sf_dir, "parsed_documents"), "page_blocks"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noise.found(_pages(spark, sf_dir))
+
+
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noise.repaired(_pages(spark, sf_dir))
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.text_values(load(spark, sf_dir, "parsed_tables"), load(spark, sf_dir, "langqi_restatement_segments"))
 

@@ -71,6 +71,6 @@ def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
 
     size = F.length("content")
     whole = F.array(F.struct(F.lit(0).alias("piece_no"), F.lit(0).alias("start_pos"), size.alias("end_pos"), F.col("content").alias("piece")))
-    cut = items.where("content IS NOT NULL AND item_key IS NOT NULL").select("item_kind", "item_key", "parent_key", "content", pieces(F.when(size > limit, F.col("content"))).alias("_cut"))
+    cut = items.where("content IS NOT NULL AND item_key IS NOT NULL").select("item_kind", "item_key", "parent_key", "content", pieces.asNondeterministic()(F.when(size > limit, F.col("content"))).alias("_cut"))
     cut = cut.withColumn("_pieces", F.coalesce("_cut", whole)).withColumn("n_pieces", F.size("_pieces"))
     return cut.select("item_kind", "item_key", "parent_key", "n_pieces", F.inline("_pieces"))
