@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.functions.lookalike import full_fold
-from filingloom.session import ensure_checkpoint_dir
+from filingloom.session import materialise
 
 #: Rows up to which the alias dictionary is broadcast.
 BROADCAST_ROWS = 50_000
@@ -247,8 +247,7 @@ def convert(observations: DataFrame, tables: DataFrame, rates: DataFrame) -> Dat
     header = phrase_key(header_phrase(F.col("unit_headers"), F.col("period")))
     table_phrases = named.select(F.explode(F.concat(F.array("p_t_unit", "p_t_currency", "p_t_title", "p_t_note"), F.transform("unit_headers", lambda h: phrase_key(F.regexp_extract(h, r"\((.+)\)", 1))))).alias("spelling"))
     phrases = base.select(F.explode(F.array("p_value", "p_unit", "p_currency", "p_own_title")).alias("spelling")).unionByName(table_phrases)
-    ensure_checkpoint_dir(spark)
-    dictionary = alias_dictionary(spark, phrases).checkpoint()
+    dictionary = materialise(alias_dictionary(spark, phrases))
     small = dictionary.count() <= BROADCAST_ROWS
 
     def looked_up(df: DataFrame, name: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that only shape execution; results do not depend on them.
 DEFAULTS = {
@@ -34,3 +36,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table once to the cluster's shared folder and return it as a scan.
+
+    Cuts the lineage like a reliable checkpoint and survives lost executors, but compressed and
+    column by column, so that later steps read only what they use.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
