@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingloom.llm.tokens import TOKENIZER, token_count
-from filingloom.session import ensure_checkpoint_dir
+from filingloom.session import materialise
 
 SEED = 20_240_601
 
@@ -30,11 +30,10 @@ def _unit(key: Column, seed: int) -> Column:
 
 def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(chosen records with repeat counts, shares reached per source)."""
-    ensure_checkpoint_dir(documents.sparkSession)
     # the table of targets is fixed: one row per source
     wanted = F.broadcast(targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")))
     sized = documents.join(wanted.select("source"), "source", "left_semi").select("doc_id", "source", F.sha2("text", 256).alias("text_key"), token_count(F.col("text"), tokenizer).alias("n_tokens"))
-    texts = sized.where("n_tokens > 0").groupBy("text_key").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("d")).select("d.*").checkpoint()
+    texts = materialise(sized.where("n_tokens > 0").groupBy("text_key").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("d")).select("d.*"))
     held = texts.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("texts"))
     every = Window.partitionBy(F.lit(1))  # over the few rows of the target table
     rates = wanted.join(held, "source").withColumn("share", F.col("target_share") / F.sum("target_share").over(every))

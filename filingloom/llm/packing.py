@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingloom.llm.tokens import TOKENIZER, token_count
-from filingloom.session import ensure_checkpoint_dir
+from filingloom.session import materialise
 
 CAPACITY = 2048
 SHARD_ROWS = 65_536
@@ -64,9 +64,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
 
     Returns ``doc_id, piece_no, token_start, n_tokens, container_id, container_fill, container_items``.
     """
-    ensure_checkpoint_dir(documents.sparkSession)
     # counted once: the tokens are read by both branches below
-    sized = documents.select("doc_id", token_count(F.col("text"), tokenizer).alias("n")).checkpoint()
+    sized = materialise(documents.select("doc_id", token_count(F.col("text"), tokenizer).alias("n")))
     shards = max(1, math.ceil(sized.count() / shard_rows))
     full = F.floor(F.col("n") / capacity).cast("int")
     windows = sized.where(f"n >= {capacity}").select("doc_id", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece_no"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import canonical, mixing, noise, packing, split, survivor
+from filingloom.llm import canonical, mixing, noise, packing, personal, split, survivor
 from filingloom.operators import nested
 from filingloom.tables import load
 
@@ -78,8 +78,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "source_targets"))[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found(load(spark, sf_dir, "documents"))
+
+
+def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.sanitised(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit() and callable(f)}
+    return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
