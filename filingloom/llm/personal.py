@@ -31,33 +31,37 @@ from pyspark.sql import functions as F
 from filingloom.session import materialise
 
 THRESHOLD_BITS = 3.0
-#: Share of a character's occurrences in delimited names above which it reads as part of a name.
-THRESHOLD_SHARE = 0.02
+#: Share of the occurrences of a character or pair that lies in delimited names, from which on it
+#: reads as a given name, a surname, a surname of two characters.
+GIVEN_SHARE, SURNAME_SHARE, PAIR_SHARE = 0.01, 0.18, 0.12
+#: A term unseen in addresses joins the lexicon if so large a share of it stands beside known terms
+#: and it occurs in at most so large a share of texts.
+NEIGHBOUR_SHARE, RARE_SHARE = 0.6, 0.002
 BROADCAST_ROWS = 300_000
 
-_AT = r"(?:@|＠|\s?[\[({<]\s?(?:at|AT)\s?[\])}>]\s?|\s(?:at|AT)\s(?=[\w-]+\s?(?:dot|DOT|[\[({]dot)))"
+_AT = r"(?:\s?(?:@|＠)\s?(?=[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2})|\s?[\[({<]\s?(?:at|AT)\s?[\])}>]\s?|\s(?:at|AT)\s(?=[\w-]+\s?(?:dot|DOT|[\[({]dot)))"
 _DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|DOT)\s?[\])}>]\s?|\s(?:dot|DOT)\s)"
-_LOCAL = r"(?<![\w.+%\-])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?"
+_LOCAL = r"(?<![A-Za-z0-9_.+%\-])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?"
 EMAIL = re.compile(f"{_LOCAL}{_AT}[A-Za-z0-9](?:[A-Za-z0-9\\-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9\\-]*[A-Za-z0-9])?)+")
 
 _EXT = r"(?:\s?(?:ext\.?|x|extension|转|Durchwahl)\s?\d{1,6})?"
 PHONE = re.compile(
-    r"(?<![\w.\-/+])(?:"
+    r"(?<![A-Za-z0-9_.\-/+])(?:"
     r"(?:\+1[ .\-]?|1[ .\-])?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])555[ .\-]\d{4}"  # North American plan
     r"|(?:\+1[ .\-]?|1[ .\-])(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}"
     r"|(?:\+44|0044)\s?(?:\(0\)\s?)?\d{2,5}[ \-]?\d{3,4}[ \-]?\d{3,4}|\(?0\d{2,4}\)?\s\d{3,4}\s\d{4}(?!\d)|01\d{3}\s\d{6}|07\d{3}\s\d{6}"  # British
     r"|(?:\+49|0049)\s?(?:\(0\)\s?)?\d{2,5}[ /\-]?\d{3,8}(?:[ \-]\d{1,5})?|\(0\d{2,4}\)\s?\d{3,8}(?:[ \-]\d{1,5})?|0\d{2,4}[/ ]\d{4,8}(?:[ \-]\d{1,5})?"  # German
     r"|(?:\+86|0086)[ \-]?(?:\d{2,3}[ \-]\d{4}[ \-]?\d{4}|1\d{2}[ \-]?\d{4}[ \-]?\d{4})|[（(]0\d{2,3}[）)]\s?\d{4}[ \-]?\d{3,4}|0\d{2,3}[ \-]\d{4}[ \-]?\d{3,4}|1\d{2}[ \-]?\d{4}[ \-]?\d{4}"  # Chinese
-    r")" + _EXT + r"(?![\w])(?!-\d)"
+    r")" + _EXT + r"(?![A-Za-z0-9_])(?!-\d)"
 )
 _NOT_PHONE = re.compile(r"(?i)(?:\bPO|filing no\.?|voucher|reference|account(?: code)?|contract|合同编号|凭证|no\.)[ #:]*$")
 
 _ID = re.compile(
-    r"(?<![\w\-])(?P<zh>\d{6}[ ]?(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ ]?\d{3}[\dXx])(?![\w])"
+    r"(?<![A-Za-z0-9_\-])(?P<zh>\d{6}[ ]?(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ ]?\d{3}[\dXx])(?![A-Za-z0-9_])"
     r"|(?<![\w\-])(?P<ni>[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D])(?!\w)"
     r"|(?<![\w\-.])(?P<cued>\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\d{9}|[CFGHJKLMNPRTVWXYZ][A-Z0-9]{7}\d|[A-Z]\d{8})(?![\w\-])"
 )
-_ID_CUE = re.compile(r"(?i)(?:identity|ident\w*|ssn|\bni\b|national insurance|social security|tax\s?payer|tax(?:payer)? (?:number|no\.?|id)|passport|\bID\b|ausweis\w*|steuer\w*|reisepass\w*|证件号?码?|身份证号?码?|护照号?码?)[^\n.;。；]{0,24}$")
+_ID_CUE = re.compile(r"(?i)(?:identity|ident\w*|ssn|\bni\b|national insurance|social security|tax\s?payer|tax(?:payer)? (?:number|no\.?|id)|passport|\bID\b|ausweis\w*|steuer\w*|reisepass\w*|证件号?码?|身份证号?码?|护照号?码?)(?:\s?(?:no|nr|number)\b\.?)?[^\n.;。；]{0,24}$")
 _ID_NOT = re.compile(r"(?i)(?:voucher|filing|contract|account|reference|invoice|合同编号|凭证)[^\n.;。；]{0,12}$")
 
 _KIND = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Square|Sq\.?|Quay|Drive|Dr\.?|Court|Ct\.?|Way|Place|Pl\.?|Close|Terrace|Crescent|Boulevard|Blvd\.?|Gardens|Row|Hill|Park)"
@@ -114,36 +118,29 @@ def structured_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def chinese_names(text: str, single: dict[str, float], pairs: dict[str, float]) -> list[tuple[int, int]]:
-    """Names beside a cue: the characters next to it, as long as they read as parts of names."""
+    """Names beside a cue: a surname of one or two characters and one or two of a given name."""
 
-    def reads(i: int) -> bool:
-        return single.get(text[i], 0) >= THRESHOLD_SHARE
+    def given(i: int) -> bool:
+        return i < len(text) and single.get(text[i], 0) >= GIVEN_SHARE
+
+    def surname(i: int) -> int:
+        if pairs.get(text[i : i + 2], 0) >= PAIR_SHARE:
+            return 2
+        return int(single.get(text[i], 0) >= SURNAME_SHARE)
 
     found = set()
     for m in _ZH_BEFORE.finditer(text):
-        start = end = m.end()
-        if pairs.get(text[start : start + 2], 0) >= 0.5:
-            end += 2
-        while end < len(text) and end - start < 4 and reads(end):
-            end += 1
-        if 2 <= end - start <= 4:
-            found.add((start, end))
+        end = m.end() + (size := surname(m.end()))
+        for _ in range(2):
+            end += size > 0 and given(end)
+        if end > m.end() + size:
+            found.add((m.end(), end))
     for m in _ZH_AFTER.finditer(text):
-        end = start = m.start()
-        best = None
-        while start > 0 and end - start < 4:
-            if reads(start - 1):
-                start -= 1
-            elif start > 1 and pairs.get(text[start - 2 : start], 0) >= 0.5:
-                start -= 2
-            else:
+        for length in (4, 3, 2):
+            start = m.start() - length
+            if start >= 0 and (size := surname(start)) and 1 <= length - size <= 2 and all(given(i) for i in range(start + size, m.start())):
+                found.add((start, m.start()))
                 break
-            if 2 <= end - start <= 4:
-                best = (start, end)
-        if start > 1 and end - start <= 2 and pairs.get(text[start - 2 : start], 0) >= 0.5:
-            best = (start - 2, end)
-        if best:
-            found.add(best)
     return sorted(found)
 
 
@@ -240,7 +237,7 @@ def character_shares(documents: DataFrame) -> tuple[dict[str, float], dict[str,
     single = {r["c"]: r["inside"] / r["n"] for r in chars.join(every, "c").collect()}
     pair = names.where(F.length("name") >= 3).select(F.substring("name", 1, 2).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("inside"))
     twos = texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"(?=({_ZH}{{2}}))"), F.lit(1))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    pairs = {r["p"]: r["inside"] / r["n"] for r in pair.join(twos, "p").where("inside >= 0.25 * n").collect()}
+    pairs = {r["p"]: r["inside"] / r["n"] for r in pair.join(twos, "p").where(F.col("inside") >= PAIR_SHARE * F.col("n")).collect()}
     return single, pairs
 
 
@@ -269,15 +266,36 @@ def _read(documents: DataFrame) -> DataFrame:
     return texts.mapInPandas(scan, f"{_SPAN}, tokens array<struct<t:string,s:int,e:int,gap:string>>, before string, after string")
 
 
+def _neighbours(tokens: DataFrame, known: DataFrame, texts: int) -> DataFrame:
+    """Rare terms that mostly stand beside a known one: the rest of a name never seen in an address.
+
+    A term of a larger vocabulary (a firm's form, a kind of street, a role) stands in many texts.
+    """
+    beside = known.select("run", F.explode(F.array(F.col("i") - 1, F.col("i") + 1, F.col("i") - 2, F.col("i") + 2)).alias("i"), F.col("i").alias("by")).groupBy("run", "i").agg(F.collect_set("by").alias("by"))
+
+    def at(step: int) -> Column:
+        return F.coalesce(F.array_contains("by", F.col("i") + step), F.lit(False))
+
+    # a word before a full name ("Frau", "Holder") is no part of it
+    near = at(-1) | F.col("after_initial") | (at(1) & ~at(2)) | (at(2) & ~at(1) & F.col("before_initial"))
+    rows = tokens.where("NOT initial").join(beside, ["run", "i"], "left").join(known.select("run", "i", F.lit(True).alias("is_known")), ["run", "i"], "left")
+    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum(near.cast("int")).alias("beside"), F.max("is_known").alias("is_known"))
+    return counts.where(F.col("is_known").isNull() & (F.col("beside") >= NEIGHBOUR_SHARE * F.col("n")) & (F.col("n") <= RARE_SHARE * texts + 1)).select("term")
+
+
 def found(documents: DataFrame) -> DataFrame:
     """(doc_id, pii_type, start_pos, end_pos) of every occurrence; positions count code points."""
     lexicon = materialise(term_lexicon(documents))
     small = lexicon.count() <= BROADCAST_ROWS
-    read = materialise(_read(documents))
-    runs = read.where("pii_type IS NULL").select("doc_id", "before", "after", F.monotonically_increasing_id().alias("run"), "tokens")
-    tokens = runs.select("run", F.posexplode("tokens").alias("i", "k")).select("run", "i", F.lower("k.t").alias("term"))
+    read = materialise(_read(documents).withColumn("run", F.monotonically_increasing_id()))
+    runs = read.where("pii_type IS NULL").select("doc_id", "before", "after", "run", "tokens")
+    initial = F.col("k.t").rlike(_INITIAL.pattern)
+    exploded = runs.select("run", "tokens", F.posexplode("tokens").alias("i", "k"))
+    placed = exploded.select("run", "i", F.lower("k.t").alias("term"), initial.alias("initial"), F.coalesce(F.get("tokens", F.col("i") - 1)["t"].rlike(_INITIAL.pattern), F.lit(False)).alias("after_initial"), F.coalesce(F.get("tokens", F.col("i") + 1)["t"].rlike(_INITIAL.pattern), F.lit(False)).alias("before_initial"))
     terms = lexicon.select("term")
-    hits = tokens.join(F.broadcast(terms) if small else terms, "term").groupBy("run").agg(F.collect_set("i").alias("known"))
+    known = placed.join(F.broadcast(terms) if small else terms, "term").select("run", "i")
+    more = _neighbours(placed, known, documents.count())
+    hits = known.unionByName(placed.where("NOT initial").join(more, "term").select("run", "i")).groupBy("run").agg(F.collect_set("i").alias("known"))
 
     @F.pandas_udf("array<struct<a:int,b:int>>")
     def names(tokens: pd.Series, known: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
