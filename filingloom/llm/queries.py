@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import canonical, mixing, noise, packing, personal, split, survivor
+from filingloom.llm import canonical, mixing, names, noise, packing, personal, split, survivor
 from filingloom.operators import nested
 from filingloom.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.mentions_of(load(spark, sf_dir, "llm_entities"), load(spark, sf_dir, "metric_observations"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.found(load(spark, sf_dir, "resolved_entities"), _mentions(spark, sf_dir))
+
+
+def p1_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.resolve(load(spark, sf_dir, "resolved_entities"), _mentions(spark, sf_dir))[1]
+
+
 def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = load(spark, sf_dir, "langqi_restatement_segments").select(F.lit("segment").alias("item_kind"), F.col("segment_id").alias("item_key"), F.col("doc_id").alias("parent_key"), "content")
     tables = load(spark, sf_dir, "parsed_tables").select(F.lit("table").alias("item_kind"), F.col("id").alias("item_key"), F.col("doc_id").alias("parent_key"), F.col("raw_markdown").alias("content"))
