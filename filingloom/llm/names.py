@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from filingloom.session import materialise
 
-MIN_JACCARD, RECALL, ROWS = 0.25, 0.95, 2
+MIN_JACCARD, RECALL, ROWS = 0.45, 0.93, 4
 #: Verified similarity from which on two spellings are linked.
 THRESHOLD = 0.8
 #: A clearly better cluster: the runner-up must lie this far behind.
