@@ -135,8 +135,11 @@ def _merge(targets: tuple[Target, ...]) -> _Node:
     return root
 
 
-def _level(item: str, path: str, parent: str, position: str, node: _Node, keep: bool, fresh: _Names) -> str:
-    """Array of the target objects at and below one object; ``keep`` carries their JSON text."""
+def _level(item: str, path: str, parent: str, owner: str, position: str, node: _Node, keep: bool, fresh: _Names) -> str:
+    """Array of the target objects at and below one object; ``keep`` carries their JSON text.
+
+    ``owner`` is the path of the nearest list element at or above it, the parent of what lies below.
+    """
     parts = []
     if node.table:
         text = item if keep else "CAST(NULL AS string)"
@@ -151,11 +154,11 @@ def _level(item: str, path: str, parent: str, position: str, node: _Node, keep:
                 if step.many:
                     element, i = fresh(), fresh()
                     objects = f"transform({_as_list(value, fresh)}, ({element}, {i}) -> struct({i} AS i, {_as_object(element, fresh)} AS o))"
-                    inner = _level(f"{pair}.o", at, path, f"{pair}.i", child, keep, fresh)
+                    inner = _level(f"{pair}.o", at, owner, at, f"{pair}.i", child, keep, fresh)
                     here = f"concat({here}, '[', {pair}.i, ']')"
                 else:
                     objects = f"array(struct(0 AS i, {_as_object(value, fresh)} AS o))"
-                    inner = _level(f"{pair}.o", at, parent, position, child, keep, fresh)
+                    inner = _level(f"{pair}.o", at, parent, owner, position, child, keep, fresh)
                 # a one-element array binds the path, so that it is built once per object
                 within = f"transform(array({here}), {at} -> {inner})[0]"
                 found.append(f"coalesce(flatten(transform(filter({objects}, {pair} -> {pair}.o IS NOT NULL), {pair} -> {within})), array())")
@@ -168,7 +171,7 @@ def path_items(document: str, targets: tuple[Target, ...], keep: bool = True) ->
     """SQL for the array of the targets' objects: table, path, parent path, position, JSON text."""
     fresh = _Names()
     root = fresh()
-    body = _level(root, "''", "''", "0", _merge(targets), keep, fresh)
+    body = _level(root, "''", "''", "''", "0", _merge(targets), keep, fresh)
     return f"coalesce(flatten(transform(filter(array({document}), {root} -> {root} IS NOT NULL), {root} -> {body})), array())"
 
 
