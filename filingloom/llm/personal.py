@@ -37,6 +37,8 @@ GIVEN_SHARE, SURNAME_SHARE, PAIR_SHARE = 0.01, 0.18, 0.12
 #: A term unseen in addresses joins the lexicon if so large a share of it stands beside known terms
 #: and it occurs in at most so large a share of texts.
 NEIGHBOUR_SHARE, RARE_SHARE = 0.6, 0.002
+#: Words that carry a surname on into the name of a firm or a street.
+LARGER_NAMES = ("street", "road", "avenue", "lane", "square", "quay", "drive", "court", "way", "place", "close", "terrace", "crescent", "boulevard", "gardens", "holdings", "holding", "limited", "ltd", "llp", "llc", "plc", "inc", "corp", "corporation", "company", "group", "partners", "associates", "foundation", "trust", "bank", "gmbh", "ag")
 BROADCAST_ROWS = 300_000
 
 _AT = r"(?:\s?(?:@|＠)\s?(?=[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2})|\s?[\[({<]\s?(?:at|AT)\s?[\])}>]\s?|\s(?:at|AT)\s(?=[\w-]+\s?(?:dot|DOT|[\[({]dot)))"
@@ -280,7 +282,7 @@ def _neighbours(tokens: DataFrame, known: DataFrame, texts: int) -> DataFrame:
     near = at(-1) | F.col("after_initial") | (at(1) & ~at(2)) | (at(2) & ~at(1) & F.col("before_initial"))
     rows = tokens.where("NOT initial").join(beside, ["run", "i"], "left").join(known.select("run", "i", F.lit(True).alias("is_known")), ["run", "i"], "left")
     counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum(near.cast("int")).alias("beside"), F.max("is_known").alias("is_known"))
-    return counts.where(F.col("is_known").isNull() & (F.col("beside") >= NEIGHBOUR_SHARE * F.col("n")) & (F.col("n") <= RARE_SHARE * texts + 1)).select("term")
+    return counts.where(F.col("is_known").isNull() & (F.col("beside") >= NEIGHBOUR_SHARE * F.col("n")) & (F.col("n") <= RARE_SHARE * texts + 2) & ~F.col("term").isin(*LARGER_NAMES)).select("term")
 
 
 def found(documents: DataFrame) -> DataFrame:
