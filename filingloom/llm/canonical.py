@@ -31,12 +31,12 @@ _LATIN = r"A-Za-zÀ-ɏ"
 _HAN = r"[㐀-䶿一-鿿]"
 #: Latin ligatures and their letters.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-#: A word part with a Latin letter and a look-alike of another script in it.
-_MIXED = f"[{_LATIN}][^\\s{_BLANK}{_LATIN}\\d\\p{{P}}]*[{FOREIGN}]|[{FOREIGN}][^\\s{_BLANK}\\d\\p{{P}}]*[{_LATIN}{_WIDE}]"
-_ALWAYS = f"[{_INVISIBLE}{_BLANK}{_WIDE}{_MARK}{_IDEOGRAPH}{_LIGATURE}]"
-SUSPECT = f"{_ALWAYS}|{_MIXED}"
-#: A run of non-blanks with something suspect in it, or a run of odd blanks.
-_SPAN = f"[^\\s{_BLANK}]*?(?:[{_INVISIBLE}{_WIDE}{_MARK}{_IDEOGRAPH}{_LIGATURE}]|{_MIXED})[^\\s{_BLANK}]*|[{_BLANK}]+"
+#: Characters that are suspect wherever they stand.
+_ODD = f"{_INVISIBLE}{_WIDE}{_MARK}{_IDEOGRAPH}{_LIGATURE}"
+SUSPECT = f"[{_ODD}{_BLANK}{FOREIGN}]"
+#: A run of Latin letters, digits and suspect characters with something suspect in it, or a run of
+#: odd blanks. It starts where no such run goes on and never steps back, so it takes linear time.
+_SPAN = f"(?<![{_LATIN}\\d{_ODD}{FOREIGN}])[{_LATIN}\\d]*+[{_ODD}{FOREIGN}][{_LATIN}\\d{_ODD}{FOREIGN}]*+|[{_BLANK}]+"
 _SPAN_WITHOUT_HAN = f"{_SPAN}|[{_WIDE_PUNCTUATION}]+"
 
 
