@@ -38,10 +38,15 @@ def _count(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t == F.lit(term)))
 
 
+def lexical_scores(segments: DataFrame, terms: list[str]) -> DataFrame:
+    """(segment_id, score) of every segment; tokens are a column of their own, so they are made once."""
+    tokens = segments.select("segment_id", tokenize(F.coalesce("content", F.lit(""))).alias("tokens"))
+    return tokens.select("segment_id", F.round(bm25_lite(F.col("tokens"), terms), 6).alias("score"))
+
+
 def lexical_search(segments: DataFrame, terms: list[str], k: int) -> DataFrame:
     """The ``k`` segments with the best lexical score (ties: the smaller id)."""
-    scored = segments.withColumn("score", F.round(bm25_lite(tokenize(F.coalesce("content", F.lit(""))), terms), 6)).where("score > 0")
-    return scored.select("segment_id", "score").orderBy(F.col("score").desc(), "segment_id").limit(k)
+    return lexical_scores(segments, terms).where("score > 0").orderBy(F.col("score").desc(), "segment_id").limit(k)
 
 
 def cosine(a: Column, b: Column) -> Column:

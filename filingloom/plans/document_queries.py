@@ -232,7 +232,7 @@ def _(spark, sf_dir):
     probe = spark.range(1).select(documents.hash_embedding(F.lit(question)).alias("probe"))  # one row
     vectors = segments.select("segment_id", documents.hash_embedding(F.col("content")).alias("embedding")).join(F.broadcast(probe))
     vector = vectors.select("segment_id", F.round(retrieval.cosine(F.col("probe"), F.col("embedding")), 6).alias("score"))
-    lexical = segments.select("segment_id", F.round(retrieval.bm25_lite(retrieval.tokenize(F.col("content")), question.split()), 6).alias("score"))
+    lexical = retrieval.lexical_scores(segments, question.split())
     merged = retrieval.merge_hits(vector, lexical).join(segments.select("segment_id", "content"), "segment_id")
     return merged.where(~retrieval.is_reference_only(F.col("content"))).orderBy(F.col("score").desc(), F.length("content").desc(), "segment_id").limit(10).drop("content")
 

@@ -335,8 +335,7 @@ def _bm25_sql() -> str:
 
 @_query("c2_bm25_lite", f"{_bm25_sql()} SELECT * FROM s WHERE score > 0")
 def _(spark, sf_dir):
-    score = F.round(retrieval.bm25_lite(retrieval.tokenize(F.coalesce("content", F.lit(""))), _TERMS), 6)
-    return load(spark, sf_dir, "langqi_restatement_segments").select("segment_id", score.alias("score")).where("score > 0")
+    return retrieval.lexical_scores(load(spark, sf_dir, "langqi_restatement_segments"), _TERMS).where("score > 0")
 
 
 @_query("o2_lexical_top_k", f"{_bm25_sql()} SELECT * FROM s WHERE score > 0 ORDER BY score DESC, segment_id LIMIT 10")
