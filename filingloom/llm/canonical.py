@@ -7,7 +7,7 @@ combining marks, shortest, smallest in byte order) is its canonical form and is
 
 Suspect is: an invisible character; a blank other than the plain one; a full-width letter or digit; a
 combining accent; a CJK radical or compatibility ideograph; a Latin ligature; a Cyrillic or Greek
-look-alike in a word with Latin letters; full-width punctuation in a text without ideographs.
+look-alike in a word with Latin letters; full-width punctuation in a text that is not Chinese.
 Words wholly in another script, single Greek symbols, superscripts and composed accents stay as
 they are. Null values and null keys yield no row, empty texts stay empty; repeated rows stay in
 ``normalised``; an empty table gives an empty result. Texts are processed whole.
@@ -40,9 +40,9 @@ _SPAN = f"(?<![{_LATIN}\\d{_ODD}{FOREIGN}])[{_LATIN}\\d]*+[{_ODD}{FOREIGN}][{_LA
 _SPAN_WITHOUT_HAN = f"{_SPAN}|[{_WIDE_PUNCTUATION}]+"
 
 
-def _spans(text: Column) -> Column:
+def _spans(text: Column, chinese: Column) -> Column:
     """Suspect spans of a text, in order; empty for the many texts without any."""
-    plain = ~text.rlike(_HAN) & text.rlike(f"[{_WIDE_PUNCTUATION}]")
+    plain = ~chinese & text.rlike(f"[{_WIDE_PUNCTUATION}]")
     found = F.when(text.rlike(SUSPECT) & ~plain, F.regexp_extract_all(text, F.lit(_SPAN), F.lit(0))).when(plain, F.regexp_extract_all(text, F.lit(_SPAN_WITHOUT_HAN), F.lit(0)))
     return F.coalesce(found, F.array().cast("array<string>"))
 
@@ -81,16 +81,18 @@ def spelling_classes(spans: DataFrame) -> DataFrame:
 
 
 def text_values(tables: DataFrame, segments: DataFrame) -> DataFrame:
-    """Titles, headers and segment contents as ``(item_key, field_name, position, text)``."""
-    titles = tables.select(F.col("id").alias("item_key"), F.lit("title").alias("field_name"), F.lit(0).alias("position"), F.col("title").alias("text"))
-    headers = tables.select(F.col("id").alias("item_key"), F.lit("headers").alias("field_name"), F.posexplode("headers").alias("position", "text"))
-    contents = segments.select(F.col("segment_id").alias("item_key"), F.lit("content").alias("field_name"), F.lit(0).alias("position"), F.col("content").alias("text"))
+    """Titles, headers and segment contents as ``(item_key, field_name, position, text, chinese)``."""
+    # a header of a Chinese table is Chinese text, even where it holds a year and a sign alone
+    chinese = F.coalesce(F.concat_ws(" ", "title", F.concat_ws(" ", "headers")).rlike(_HAN), F.lit(False)).alias("chinese")
+    titles = tables.select(F.col("id").alias("item_key"), F.lit("title").alias("field_name"), F.lit(0).alias("position"), F.col("title").alias("text"), chinese)
+    headers = tables.select(F.col("id").alias("item_key"), F.lit("headers").alias("field_name"), chinese, F.posexplode("headers").alias("position", "text"))
+    contents = segments.select(F.col("segment_id").alias("item_key"), F.lit("content").alias("field_name"), F.lit(0).alias("position"), F.col("content").alias("text"), F.col("content").rlike(_HAN).alias("chinese"))
     return titles.unionByName(headers).unionByName(contents).where("item_key IS NOT NULL AND text IS NOT NULL")
 
 
 def repairs(values: DataFrame) -> DataFrame:
     """(item_key, field_name, position, span, canonical) of every span that is not canonical."""
-    spans = values.select("item_key", "field_name", "position", F.explode(F.array_distinct(_spans(F.col("text")))).alias("span"))
+    spans = values.select("item_key", "field_name", "position", F.explode(F.array_distinct(_spans(F.col("text"), F.col("chinese")))).alias("span"))
     return spans.join(spelling_classes(spans), "span").where("span <> canonical")
 
 

@@ -192,6 +192,10 @@ def monge_elkan(a: list[str], b: list[str], count_a: dict[str, int], count_b: di
     # the initial of a given name comes first: "M. E. Smith" is no Elizabeth
     if any(k < place for side, place in stood for k in (left, right)[side]):
         return 0.0
+    # and it stands for a word its own name lacks: else surnames would pass as middle initials
+    full = [sum(len(t) > 1 for t in t_) for t_ in (a, b)]
+    if any(full[side] >= full[1 - side] for side, _ in stood):
+        return 0.0
     missing = len(rest_a) + len(rest_b)
     return (total + 0.9 * missing) / (weight + missing)
 

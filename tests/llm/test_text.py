@@ -40,7 +40,14 @@ def test_split_items(spark):
 
 
 def _values(spark, texts):
-    return spark.createDataFrame([(k, "content", 0, t) for k, t in texts.items()], "item_key string, field_name string, position int, text string")
+    tables = spark.createDataFrame([], "id string, title string, headers array<string>")
+    return canonical.text_values(tables, spark.createDataFrame(list(texts.items()), "segment_id string, content string"))
+
+
+def test_headers_of_chinese_tables(spark):
+    tables = spark.createDataFrame([("zh", "合并利润表", ["项目", "2019（US$）"]), ("en", "Income", ["Item", "2019（US$）"]), ("none", None, None)], "id string, title string, headers array<string>")
+    values = canonical.text_values(tables, spark.createDataFrame([], "segment_id string, content string"))
+    assert [tuple(r) for r in canonical.found(values).collect()] == [("en", "headers")]
 
 
 def test_lookalikes_are_found_and_folded(spark):
