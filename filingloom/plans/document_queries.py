@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filingloom.operators import documents, nested, retrieval
+from filingloom.operators import documents, nested, retrieval, tables
 from filingloom.plans.reference_queries import _OBS, _obs, _query
 from filingloom.streaming import windows
 from filingloom.tables import load
@@ -246,3 +246,38 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     items = nested.payload_table(load(spark, sf_dir, "parsed_documents"), "statements")
     return items.groupBy("statement_type").agg(F.count(F.lit(1)).alias("statements"), F.countDistinct("root_key").alias("documents"))
+
+
+def _metric_case() -> str:
+    parts = []
+    for statement, metrics in tables.METRIC_ALIASES.items():
+        spelled = sorted(((a, m) for m, aliases in metrics.items() for a in aliases), key=lambda s: -len(s[0]))
+        quote = "''"
+        whens = " ".join(f"WHEN contains(lower(label), '{a.replace(chr(39), quote)}') THEN '{m}'" for a, m in spelled)
+        parts.append(f"WHEN starts_with(table_type, '{statement}') THEN CASE {whens} END")
+    return f"CASE {' '.join(parts)} END"
+
+
+@_query("c19_row_metrics", f"WITH r AS (SELECT id, table_type, unnest(range(0, len(rows)))::INTEGER AS row_no, unnest(rows)[1] AS label FROM parsed_tables WHERE table_type IS NOT NULL), m AS (SELECT id, row_no, label, {_metric_case()} AS metric_key FROM r) SELECT * FROM m WHERE metric_key IS NOT NULL")
+def _(spark, sf_dir):
+    return tables.row_metrics(load(spark, sf_dir, "parsed_tables"))
+
+
+def _mark_case(marks) -> str:
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{name}'" for name, words in marks) + " END"
+
+
+@_query("c21_unit_labels", f"WITH x AS (SELECT id, lower(concat_ws(' ', title, raw_markdown)) AS t FROM parsed_tables) SELECT id, {_mark_case(tables.UNIT_MARKS)} AS unit_label, {_mark_case(tables.CURRENCY_MARKS)} AS currency_label FROM x")
+def _(spark, sf_dir):
+    return tables.unit_labels(load(spark, sf_dir, "parsed_tables"))
+
+
+@_query("h13_period_values")
+def _(spark, sf_dir):
+    return tables.period_values(load(spark, sf_dir, "parsed_tables"))
+
+
+@_query("w10_coalesced_segments")
+def _(spark, sf_dir):
+    rows = _segments(spark, sf_dir).where("content IS NOT NULL AND position IS NOT NULL").select("doc_id", "position", F.col("metadata.section_type").alias("parent_id"), F.col("metadata.page_start").alias("page"), "content")
+    return tables.coalesce_short(rows)
