@@ -36,7 +36,7 @@ THRESHOLD_BITS = 3.0
 GIVEN_SHARE, SURNAME_SHARE, PAIR_SHARE = 0.01, 0.18, 0.12
 #: A term unseen in addresses joins the lexicon if so large a share of it stands beside known terms
 #: and it occurs in at most so large a share of texts.
-NEIGHBOUR_SHARE, RARE_SHARE = 0.6, 0.002
+NEIGHBOUR_SHARE, RARE_SHARE = 0.4, 0.002
 #: Words that carry a surname on into the name of a firm or a street.
 LARGER_NAMES = ("street", "road", "avenue", "lane", "square", "quay", "drive", "court", "way", "place", "close", "terrace", "crescent", "boulevard", "gardens", "holdings", "holding", "limited", "ltd", "llp", "llc", "plc", "inc", "corp", "corporation", "company", "group", "partners", "associates", "foundation", "trust", "bank", "gmbh", "ag")
 BROADCAST_ROWS = 300_000
@@ -81,7 +81,9 @@ _ZH_ADDRESS_LEAD = re.compile(r"^(?:联系地址|通讯地址|注册地址|办
 
 #: Roles beside which Chinese names stand; the pattern of a name between delimiters on both sides.
 _ZH_ROLE = "联系人|投诉人|股东|会计师|持有人|董事|监事|董事长|董事会秘书|秘书|经理|总裁|代表|收件人|负责人|经办人|签字人|申请人|受益人|举报人|委托人"
-_ZH_DELIMITED = f"(?:(?:{_ZH_ROLE})[：:]?({_ZH}{{2,4}})(?=[，,。；（(、\\s])|(?:^|[^一-鿿])({_ZH}{{2,4}})(?=先生|女士))"
+#: What a sentence goes on with behind a name.
+_ZH_VERB = "反映|负责|因个人|质押|出具|担任|辞职|签署|先生|女士"
+_ZH_DELIMITED = f"(?:(?:{_ZH_ROLE})[：:]?({_ZH}{{2,4}}?)(?=[，,。；（(、\\s]|{_ZH_VERB})|(?:^|[^一-鿿])({_ZH}{{2,4}}?)(?=先生|女士))"
 _ZH_BEFORE = re.compile(f"(?:{_ZH_ROLE})[：:]?(?={_ZH})")
 _ZH_AFTER = re.compile(r"先生|女士|收(?![入到购益回取款盘])|因个人原因")
 
@@ -125,22 +127,23 @@ def chinese_names(text: str, single: dict[str, float], pairs: dict[str, float])
     def given(i: int) -> bool:
         return i < len(text) and single.get(text[i], 0) >= GIVEN_SHARE
 
-    def surname(i: int) -> int:
-        if pairs.get(text[i : i + 2], 0) >= PAIR_SHARE:
-            return 2
-        return int(single.get(text[i], 0) >= SURNAME_SHARE)
+    def surnames(i: int) -> list[int]:
+        """Lengths of the surnames that may begin here, the longer first."""
+        return [n for n, share in ((2, pairs.get(text[i : i + 2], 0) >= PAIR_SHARE), (1, single.get(text[i : i + 1], 0) >= SURNAME_SHARE)) if share]
 
     found = set()
     for m in _ZH_BEFORE.finditer(text):
-        end = m.end() + (size := surname(m.end()))
-        for _ in range(2):
-            end += size > 0 and given(end)
-        if end > m.end() + size:
-            found.add((m.end(), end))
+        for size in surnames(m.end()):
+            start = end = m.end() + size
+            while end - start < 2 and given(end):
+                end += 1
+            if end > start:
+                found.add((m.end(), end))
+                break
     for m in _ZH_AFTER.finditer(text):
         for length in (4, 3, 2):
             start = m.start() - length
-            if start >= 0 and (size := surname(start)) and 1 <= length - size <= 2 and all(given(i) for i in range(start + size, m.start())):
+            if start >= 0 and any(1 <= length - size <= 2 and all(given(i) for i in range(start + size, m.start())) for size in surnames(start)):
                 found.add((start, m.start()))
                 break
     return sorted(found)
