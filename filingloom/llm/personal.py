@@ -10,10 +10,12 @@ its occurrence adds to finding it in the local part of an e-mail address of the
 estimated over all texts. Terms above ``THRESHOLD_BITS`` reveal a person; runs of them, with initials,
 are names, unless they stand in a larger proper name (a firm, a street, a joint venture). Chinese
 terms are single characters and pairs; their disclosure is measured against names that cues delimit
-on both sides, and then names next to any cue are read off character by character.
+on both sides. Names next to any cue are then read off character by character, and every other
+position is scored by the share of its surname and by what the corpus tells about the pairs of
+characters before and behind it.
 
 Every text is read once by Python and processed whole. The lexicon of terms is counted and joined;
-only the table of Chinese characters, bounded by the script, travels with the tasks.
+only the tables of Chinese characters and pairs, bounded by the script, travel with the tasks.
 
 Null and empty texts and null ids yield no span; repeated rows stay in ``sanitised`` and give their
 spans once in ``found``; an empty table gives an empty result. Extra columns are ignored.
@@ -21,6 +23,7 @@ spans once in ``found``; an empty table gives an empty result. Extra columns are
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -34,6 +37,8 @@ THRESHOLD_BITS = 3.0
 #: Share of the occurrences of a character or pair that lies in delimited names, from which on it
 #: reads as a given name, a surname, a surname of two characters.
 GIVEN_SHARE, SURNAME_SHARE, PAIR_SHARE = 0.01, 0.18, 0.12
+#: A Chinese name away from every cue: least log odds of its surname and its contexts together.
+READING_BITS = -4.0
 #: A term unseen in addresses joins the lexicon if so large a share of it stands beside known terms
 #: and it occurs in at most so large a share of texts.
 NEIGHBOUR_SHARE, RARE_SHARE = 0.4, 0.002
@@ -87,6 +92,8 @@ _ZH_DELIMITED = f"(?:(?:{_ZH_ROLE})[：:]?({_ZH}{{2,4}}?)(?=[，,。；（(、\\
 _ZH_BEFORE = re.compile(f"(?:{_ZH_ROLE})[：:]?(?={_ZH})")
 _ZH_AFTER = re.compile(r"先生|女士|收(?![入到购益回取款盘])|因个人原因")
 
+_ZH_PAIR = re.compile(f"{_ZH}{{2}}")
+
 _TOKEN = re.compile(r"(?<![\w@./])(?:(?:[A-ZÀ-Þ]\.)+|[A-ZÀ-Þ][a-zà-ÿ'’]+(?:-[A-ZÀ-Þ][a-zà-ÿ'’]+)*|[A-ZÀ-Þ]{2,}(?:-[A-ZÀ-Þ]{2,})*|[A-Z])(?![\w@])")
 _INITIAL = re.compile(r"^(?:[A-ZÀ-Þ]\.)+$|^[A-ZÀ-Þ]$")
 
@@ -121,6 +128,47 @@ def structured_spans(text: str) -> list[tuple[str, int, int]]:
     return taken
 
 
+def _surnames(text: str, i: int, single: dict[str, float], pairs: dict[str, float]) -> list[int]:
+    """Lengths of the surnames that may begin at ``i``, the longer first."""
+    return [n for n, share in ((2, pairs.get(text[i : i + 2], 0) >= PAIR_SHARE), (1, single.get(text[i : i + 1], 0) >= SURNAME_SHARE)) if share]
+
+
+def _surname_starts(single: dict[str, float], pairs: dict[str, float]) -> re.Pattern | None:
+    """Characters a surname may begin with; none if no name was ever delimited."""
+    first = {c for c, share in single.items() if share >= SURNAME_SHARE} | {p[0] for p in pairs}
+    return re.compile(f"[{''.join(sorted(first))}]") if first else None
+
+
+def chinese_readings(text: str, starts: re.Pattern, single: dict[str, float], pairs: dict[str, float]) -> Iterator[tuple[int, int, float]]:
+    """(start, end, share of the surname) of the longest name that can be read at each position, not overlapping."""
+    last = 0
+    for m in starts.finditer(text):
+        i = m.start()
+        for size in _surnames(text, i, single, pairs) if i >= last else ():
+            end = i + size
+            while end < min(len(text), i + size + 2) and single.get(text[end], 0) >= GIVEN_SHARE:
+                end += 1
+            if end > i + size:
+                yield i, end, pairs[text[i : i + 2]] if size == 2 else single[text[i]]
+                last = end
+                break
+
+
+def _beside(text: str, start: int, end: int) -> list[tuple[str, str]]:
+    """The pairs of Chinese characters before and behind a span; none at a sign or an edge."""
+    sides = (("before", text[max(0, start - 2) : start]), ("after", text[end : end + 2]))
+    return [(side, pair) for side, pair in sides if _ZH_PAIR.fullmatch(pair)]
+
+
+def chinese_names_anywhere(text: str, starts: re.Pattern, single: dict[str, float], pairs: dict[str, float], bits: dict[tuple[str, str], float]) -> list[tuple[int, int]]:
+    """Names at any position: the odds of the surname and of both contexts together speak for one."""
+
+    def score(start: int, end: int, share: float) -> float:
+        return math.log2((share + 1e-3) / (1 - share + 1e-3)) + sum(bits.get(c, 0.0) for c in _beside(text, start, end))
+
+    return [(start, end) for start, end, share in chinese_readings(text, starts, single, pairs) if score(start, end, share) >= READING_BITS]
+
+
 def chinese_names(text: str, single: dict[str, float], pairs: dict[str, float]) -> list[tuple[int, int]]:
     """Names beside a cue: a surname of one or two characters and one or two of a given name."""
 
@@ -128,8 +176,7 @@ def chinese_names(text: str, single: dict[str, float], pairs: dict[str, float])
         return i < len(text) and single.get(text[i], 0) >= GIVEN_SHARE
 
     def surnames(i: int) -> list[int]:
-        """Lengths of the surnames that may begin here, the longer first."""
-        return [n for n, share in ((2, pairs.get(text[i : i + 2], 0) >= PAIR_SHARE), (1, single.get(text[i : i + 1], 0) >= SURNAME_SHARE)) if share]
+        return _surnames(text, i, single, pairs)
 
     found = set()
     for m in _ZH_BEFORE.finditer(text):
@@ -229,36 +276,65 @@ def term_lexicon(documents: DataFrame) -> DataFrame:
     return counts.select("term", bits.alias("bits")).where(F.col("bits") >= THRESHOLD_BITS)
 
 
-def character_shares(documents: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+def chinese_texts(documents: DataFrame) -> DataFrame:
+    return documents.where("text IS NOT NULL AND doc_id IS NOT NULL").where(F.col("text").rlike(_ZH)).select("text")
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(p, n): occurrences of each pair of neighbouring Chinese characters."""
+    return texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"(?=({_ZH}{{2}}))"), F.lit(1))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
+def character_shares(texts: DataFrame, twos: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Share of each Chinese character and leading pair that stands in delimited names.
 
     Bounded by the script: characters, and pairs that begin some delimited name of three or more.
     """
-    texts = documents.where("text IS NOT NULL AND doc_id IS NOT NULL").where(F.col("text").rlike(_ZH)).select("text")
     both = F.concat(F.regexp_extract_all("text", F.lit(_ZH_DELIMITED), F.lit(1)), F.regexp_extract_all("text", F.lit(_ZH_DELIMITED), F.lit(2)))
     names = texts.select(F.explode(F.filter(both, lambda n: F.length(n) >= 2)).alias("name"))
     chars = names.select(F.explode(F.filter(F.split("name", ""), lambda c: c != "")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("inside"))
     every = texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"({_ZH})"), F.lit(1))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     single = {r["c"]: r["inside"] / r["n"] for r in chars.join(every, "c").collect()}
     pair = names.where(F.length("name") >= 3).select(F.substring("name", 1, 2).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("inside"))
-    twos = texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"(?=({_ZH}{{2}}))"), F.lit(1))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     pairs = {r["p"]: r["inside"] / r["n"] for r in pair.join(twos, "p").where(F.col("inside") >= PAIR_SHARE * F.col("n")).collect()}
     return single, pairs
 
 
+def context_bits(texts: DataFrame, twos: DataFrame, single: dict[str, float], pairs: dict[str, float]) -> dict[tuple[str, str], float]:
+    """(side, pair of characters) -> log odds that a name can be read beside it; 0 bits where nothing is known."""
+    starts = _surname_starts(single, pairs)
+    if starts is None:
+        return {}
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                for start, end, _ in chinese_readings(text, starts, single, pairs):
+                    out += _beside(text, start, end)
+            yield pd.DataFrame(out, columns=["side", "p"])
+
+    beside = texts.mapInPandas(contexts, "side string, p string").groupBy("side", "p").agg(F.count(F.lit(1)).alias("beside"))
+    return {(r["side"], r["p"]): math.log2((r["beside"] + 1) / (r["n"] - r["beside"] + 1)) for r in beside.join(twos, "p").collect()}
+
+
 _SPAN = "doc_id bigint, pii_type string, start_pos int, end_pos int"
 
 
 def _read(documents: DataFrame) -> DataFrame:
     """One pass over the texts: spans that are certain, and runs that may hold names."""
-    single, pairs = character_shares(documents)
+    chinese = chinese_texts(documents)
+    twos = materialise(pair_counts(chinese))
+    single, pairs = character_shares(chinese, twos)
+    bits, starts = context_bits(chinese, twos, single, pairs), _surname_starts(single, pairs)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 taken = structured_spans(text)
-                for a, b in chinese_names(text, single, pairs):
+                anywhere = chinese_names_anywhere(text, starts, single, pairs, bits) if starts else []
+                for a, b in chinese_names(text, single, pairs) + anywhere:
                     if all(b <= x or a >= y for _, x, y in taken):
                         taken.append(("name", a, b))
                 out += [(doc_id, kind, a, b, None, None, None) for kind, a, b in taken]

@@ -88,6 +88,18 @@ def test_names_follow_from_addresses(spark):
     assert clean[902] == "[NAME] thanked the staff." and clean[0] == "Questions may be sent to [NAME] at [EMAIL]." and clean[904] is None and clean[905] == "" and clean[101] == texts[101]
 
 
+def test_chinese_names_without_a_listed_cue(spark):
+    people = ["闾丘翎曜", "郯砚", "钟离珩", "郯曜翎", "闾丘砚", "钟离曜珩"]
+    rows = [(i, f"联系人：{people[i % 6]}，存货周转天数下降至{i}天。") for i in range(12)]
+    rows += [(100 + i, f"会议由{people[i]}主持，{people[5 - i]}记录。由于原材料价格上涨，主要产品毛利下降，会议记录已归档。") for i in range(6)]
+    rows += [(200 + i, "该公司主要负责记录产能，产品由本地市场主导。") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = dict(rows)
+    got = {(r.doc_id, texts[r.doc_id][r.start_pos : r.end_pos]) for r in personal.found(docs).collect() if r.pii_type == "name" and r.doc_id >= 100}
+    assert got == {(100 + i, name) for i in range(6) for name in (people[i], people[5 - i])}
+    assert {r.doc_id: r.text for r in personal.sanitised(docs).collect()}[100].startswith("会议由[NAME]主持，[NAME]记录。由于")
+
+
 @pytest.mark.parametrize("a,b,linked", [
     ("Ravstead Wyncross Bearings LLC", "Bearings, Ravstead Wyncross L.L.C.", True), ("Lindgate Yarcross Semiconductor Ltd", "LindgateYarcrossSemiconductor", True), ("Iskwick Isktarn General Paper & Sons Ltd", "Iskwcik Isktarn Gen. Paper and Sons Limited", True), ("Caldervale Power plc", "Cald-ervale Power PLC", True),
     ("Iskwick Isktarn General Paper & Sons Ltd", "IIGP", True), ("Bramden Industrial Pharmaceuticals Ltd", "Bramden International Pharmaceuticals Ltd", False), ("Marlcross Software Limited", "Marlcross Shipping Limited", False), ("Fensund Glass plc", "Fensund Glass Inc.", False),
