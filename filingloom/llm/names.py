@@ -6,8 +6,8 @@
    collision curve ``1 - (1 - s^r)^b``: the fewest bands that still give pairs of ``MIN_JACCARD``
    a chance of ``RECALL`` to meet. Only spellings of known entities are posted; all spellings probe.
 3. Candidates are verified by a Monge-Elkan similarity whose inner measure knows abbreviations,
-   nicknames, initials, homophones and typing errors. Two words that are both common are different
-   words, however close; every word must find a partner.
+   nicknames, initials, homophones and typing errors. Two words that are both common among the known
+   entities are different words, however close; every word must find a partner.
 4. Rows of known entities are clustered by star clustering: the row with most links becomes a centre
    and takes its unassigned neighbours, until none is left. A spelling goes to the cluster of its
    best match and to none if two clusters match equally well.
@@ -133,7 +133,7 @@ def _abbreviates(short: str, long: str) -> float:
 
 
 def token_similarity(a: str, b: str, n_a: int, n_b: int) -> float:
-    """Similarity of two words of names; ``n_a`` and ``n_b`` count the spellings they occur in."""
+    """Similarity of two words of names; ``n_a`` and ``n_b`` count the spellings of known entities they occur in."""
     if a == b:
         return 1.0
     if len(a) == 1 or len(b) == 1:
@@ -282,8 +282,11 @@ def band_keys(form: tuple[str, ...], bands: int, rows: int, q: int = 2) -> list[
     return [f"{i}:" + ":".join(map(str, band)) for i, band in enumerate(signature.tolist())]
 
 
-def _spellings(names: DataFrame, bands: int) -> DataFrame:
-    """Distinct spellings with their normal form, word counts over all spellings and band keys."""
+def _spellings(names: DataFrame, known: DataFrame, bands: int) -> DataFrame:
+    """Distinct spellings with their normal form, word counts over the spellings of known entities and band keys.
+
+    Mentions do not count: however often a misspelling is mentioned, it stays one.
+    """
     parsed_type = "struct<script:string,core:array<string>,legal:string,keys:array<string>>"
 
     @F.pandas_udf(parsed_type)
@@ -298,7 +301,7 @@ def _spellings(names: DataFrame, bands: int) -> DataFrame:
     distinct = names.where("name IS NOT NULL AND trim(name) <> ''").select("name").distinct()
     parsed = materialise(distinct.withColumn("p", parse.asNondeterministic()("name")).select("name", "p.*").where("script <> ''"))
     words = parsed.where("script = 'en'").select("name", F.explode(F.array_distinct("core")).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    counts = words.join(known.select("name").distinct(), "name", "left_semi").groupBy("word").agg(F.count(F.lit(1)).cast("int").alias("n"))
     counted = words.join(counts, "word").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
     return parsed.join(counted, "name", "left")
 
@@ -308,7 +311,7 @@ def links(known: DataFrame, names: DataFrame) -> DataFrame:
 
     ``known`` and ``names`` have the one column ``name``; a spelling is not linked to itself.
     """
-    spelled = materialise(_spellings(known.unionByName(names), bands_needed()))
+    spelled = materialise(_spellings(known.unionByName(names), known, bands_needed()))
     referenced = spelled.join(known.select("name").distinct(), "name", "left_semi")
     posted = referenced.select(F.explode("keys").alias("key"), F.col("name").alias("known_name"))
     probes = spelled.select(F.explode("keys").alias("key"), "name")

@@ -109,6 +109,13 @@ def test_name_similarity(a, b, linked):
     assert (names.similarity(names.normalise(a), names.normalise(b), {}, {}) >= names.THRESHOLD) is linked
 
 
+def test_misspellings_stay_typing_errors_however_often_mentioned(spark):
+    known = spark.createDataFrame([(f"Bramfell {w} Limited",) for w in ("Paper", "Glass", "Power", "Foods")], "name string")
+    mentions = spark.createDataFrame([(f"Braamfell {w} Limited",) for w in ("Paper", "Glass", "Power")], "name string")
+    got = {(r.name, r.known_name) for r in names.links(known, mentions).collect() if r.name.startswith("Braamfell")}
+    assert got == {(f"Braamfell {w} Limited", f"Bramfell {w} Limited") for w in ("Paper", "Glass", "Power")}
+
+
 def test_resolution(spark):
     entities = spark.createDataFrame([("e1", "Ravstead Wyncross Bearings LLC", ["the Company", None]), ("e2", "Ravsteda Wyncross Bearings L.L.C.", None), ("e3", "Marlcross Shipping plc", []), ("e4", None, None)], "entity_id string, canonical_name string, aliases array<string>")
     mentions = spark.createDataFrame([("m1", "Bearings, Ravstead Wyncross"), ("m2", "Ravstead Wyncross Bearings LLC"), ("m3", "the Company"), ("m4", None), ("m5", "Unrelated Foods plc"), ("m6", "Bearings, Ravstead Wyncross"), ("m7", "")], "key string, name string")
