@@ -118,6 +118,14 @@ def _(spark, sf_dir):
     return rows.select("observation_id", documents.character_error_rate(F.col("canonical_name"), F.col("company")).alias("cer"))
 
 
+@_query("a30_character_error_rate_all")
+def _(spark, sf_dir):
+    # all names: the SQL of a30_character_error_rate keeps ASCII names only
+    entities = load(spark, sf_dir, "resolved_entities").where("canonical_name IS NOT NULL").select(F.col("entity_id").alias("company_id"), "canonical_name")
+    rows = load(spark, sf_dir, "metric_observations").where("company IS NOT NULL").select("observation_id", "company_id", "company").join(entities, "company_id")
+    return rows.select("observation_id", documents.character_error_rate(F.col("canonical_name"), F.col("company")).alias("cer"))
+
+
 @_query("w6_line_cleaning", "WITH l AS (SELECT segment_id, unnest(range(0, len(string_split(content, chr(10))))) AS line_no, trim(unnest(string_split(content, chr(10)))) AS line FROM langqi_restatement_segments WHERE content IS NOT NULL), k AS (SELECT *, lag(line) OVER (PARTITION BY segment_id ORDER BY line_no) AS previous FROM l WHERE line <> '') SELECT segment_id, count(*) AS kept_lines, sum(length(line))::BIGINT AS characters FROM k WHERE previous IS NULL OR previous <> line GROUP BY 1")
 def _(spark, sf_dir):
     return documents.fold_lines(_segments(spark, sf_dir)).groupBy("segment_id").agg(F.count(F.lit(1)).alias("kept_lines"), F.sum(F.length("line")).alias("characters"))
@@ -178,6 +186,12 @@ def _(spark, sf_dir):
     return _segments(spark, sf_dir).where(F.col("content").rlike(r"^[ -~\n]+$")).select("segment_id", F.md5(documents.dedupe_key(F.col("content"))).alias("k"))
 
 
+@_query("c28_dedupe_key_all")
+def _(spark, sf_dir):
+    # all segments: the SQL of c28_dedupe_key keeps ASCII texts only
+    return _segments(spark, sf_dir).where("content IS NOT NULL").select("segment_id", F.md5(documents.dedupe_key(F.col("content"))).alias("k"))
+
+
 @_query("c33_markdown_row", "SELECT id, '| ' || array_to_string(headers, ' | ') || ' |' AS header_line FROM parsed_tables WHERE headers IS NOT NULL")
 def _(spark, sf_dir):
     return load(spark, sf_dir, "parsed_tables").where("headers IS NOT NULL").select("id", F.concat(F.lit("| "), F.array_join("headers", " | "), F.lit(" |")).alias("header_line"))

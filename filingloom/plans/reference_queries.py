@@ -289,6 +289,15 @@ def _(spark, sf_dir):
     return rows.select("entity_id", "canonical_name", F.row_number().over(Window.orderBy(F.lower("canonical_name"), "entity_id")).alias("place"))
 
 
+@_query("o11_company_list_all")
+def _(spark, sf_dir):
+    from pyspark.sql import Window
+
+    # all names: the SQL of o11_company_list keeps ASCII names only
+    rows = load(spark, sf_dir, "resolved_entities").where("canonical_name IS NOT NULL")
+    return rows.select("entity_id", "canonical_name", F.row_number().over(Window.orderBy(F.lower("canonical_name"), "entity_id")).alias("place"))
+
+
 @_query("s14_segments_in_order", "SELECT segment_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY position, segment_id) AS place FROM langqi_restatement_segments")
 def _(spark, sf_dir):
     from pyspark.sql import Window
