@@ -128,12 +128,19 @@ def analyze(questions: DataFrame) -> DataFrame:
 def foreign_company(questions: DataFrame, aliases: DataFrame, company_id: str) -> DataFrame:
     """Questions that name another company: the longest of its aliases that the question contains.
 
-    ``aliases (company_id, alias)`` are looked up by the word runs of the question, not one by one.
+    ``aliases (company_id, alias)`` are looked up by the word runs of the question, as long as the
+    longest alias, not one by one; aliases with ideographs, which have no blanks around them, by its
+    stretches of characters of the lengths that occur.
     """
+    han = r"[\u3400-\u9fff]"
     words = F.split(F.lower(F.trim(F.regexp_replace("question", r"[^\p{L}\p{N}]+", " "))), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(8), F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))
-    probes = questions.withColumn("w", words).select("question", F.explode(F.array_distinct(runs)).alias("run"))
-    keyed = aliases.where(F.length("alias") > 0).select("company_id", "alias", F.lower(F.trim(F.regexp_replace("alias", r"[^\p{L}\p{N}]+", " "))).alias("run"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least("most_words", F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))
+    stretches = F.flatten(F.transform("lengths", lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.length("joined")), lambda i: i + n - 1 <= F.length("joined")), lambda i: F.substring("joined", i, n))))
+    spelled = F.lower(F.trim(F.regexp_replace("alias", r"[^\p{L}\p{N}]+", " ")))
+    keyed = aliases.where(F.length("alias") > 0).select("company_id", "alias", F.when(spelled.rlike(han), F.replace(spelled, F.lit(" "), F.lit(""))).otherwise(spelled).alias("run")).where("run <> ''")
+    sizes = keyed.agg(F.coalesce(F.max(F.size(F.split("run", " "))), F.lit(1)).alias("most_words"), F.collect_set(F.when(F.col("run").rlike(han), F.length("run"))).alias("lengths"))  # one row
+    joined = questions.withColumn("w", words).withColumn("joined", F.array_join("w", "")).crossJoin(F.broadcast(sizes))
+    probes = joined.select("question", F.explode(F.array_distinct(F.concat(runs, F.when(F.col("joined").rlike(han), stretches).otherwise(F.array().cast("array<string>"))))).alias("run"))
     own = keyed.where(F.col("company_id") == company_id).select("run").distinct()
     hits = probes.join(keyed.join(own, "run", "left_anti"), "run").where(F.col("company_id") != company_id)
     best = F.max(F.struct(F.length("alias").alias("n"), F.col("alias"), F.col("company_id")))

@@ -30,6 +30,14 @@ def test_scope_guard(spark):
     assert [tuple(r) for r in tables.foreign_company(questions, aliases, "a").collect()] == [("What did Beta Foods Holdings, Inc. earn?", "b", "Beta Foods Holdings")]
 
 
+def test_scope_guard_knows_long_and_chinese_aliases(spark):
+    long = "First United Northern and Southern Coastal Shipping and Storage Company"
+    aliases = spark.createDataFrame([("c1", long), ("c2", "恒珩装备"), ("c3", "桐港恒珩装备制造"), ("own", "昊铭材料")], "company_id string, alias string")
+    asked = [f"How did {long} do in 2021?", "请问桐港恒珩装备制造2021年的收入是多少", "昊铭材料的收入是多少"]
+    got = tables.foreign_company(spark.createDataFrame([(q,) for q in asked], "question string"), aliases, "own")
+    assert {r.question: (r.company_id, r.alias) for r in got.collect()} == {asked[0]: ("c1", long), asked[1]: ("c3", "桐港恒珩装备制造")}
+
+
 def test_short_neighbours_join_until_long_enough(spark):
     rows = [("d", 1, "s", 1, "a" * 50), ("d", 2, "s", 1, "b" * 40), ("d", 3, "s", 2, "c" * 40), ("d", 4, "s", 9, "short one text"), ("d", 5, "s", None, "--"), ("e", 1, None, None, "...")]
     out = tables.coalesce_short(spark.createDataFrame(rows, "doc_id string, position int, parent_id string, page int, content string")).orderBy("position").collect()
