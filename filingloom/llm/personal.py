@@ -54,7 +54,7 @@ EMAIL = re.compile(f"{_LOCAL}{_AT}[A-Za-z0-9](?:[A-Za-z0-9\\-]*[A-Za-z0-9])?(?:{
 _EXT = r"(?:\s?(?:ext\.?|x|extension|转|Durchwahl)\s?\d{1,6})?"
 PHONE = re.compile(
     r"(?<![A-Za-z0-9_.\-/+])(?:"
-    r"(?:\+1[ .\-]?|1[ .\-])?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])555[ .\-]\d{4}"  # North American plan
+    r"(?:\+1[ .\-]?|1[ .\-])?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}"  # North American plan
     r"|(?:\+1[ .\-]?|1[ .\-])(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}"
     r"|(?:\+44|0044)\s?(?:\(0\)\s?)?\d{2,5}[ \-]?\d{3,4}[ \-]?\d{3,4}|\(?0\d{2,4}\)?\s\d{3,4}\s\d{4}(?!\d)|01\d{3}\s\d{6}|07\d{3}\s\d{6}"  # British
     r"|(?:\+49|0049)\s?(?:\(0\)\s?)?\d{2,5}[ /\-]?\d{3,8}(?:[ \-]\d{1,5})?|\(0\d{2,4}\)\s?\d{3,8}(?:[ \-]\d{1,5})?|0\d{2,4}[/ ]\d{4,8}(?:[ \-]\d{1,5})?"  # German

@@ -76,6 +76,11 @@ def test_numbers_that_are_no_personal_data():
         assert personal.structured_spans(text) == [], text
 
 
+def test_phone_numbers_of_any_exchange():
+    assert personal.structured_spans("call 212-867-5309 now") == [("phone", 5, 17)]
+    assert personal.structured_spans("contract 212-867-5309") == []
+
+
 def test_names_follow_from_addresses(spark):
     first, last = ["Wilma", "Silvio", "Greet", "Odette", "Marit", "Edward"], ["Orvane", "Haldrum", "Zandrick", "Lorskin", "Treskild", "Ombrell"]
     rows = [(i, f"Questions may be sent to {first[i % 6]} {last[i // 6]} at {first[i % 6].lower()}.{last[i // 6].lower()}@example.org.") for i in range(36)] + [(100 + i, f"Sales of unit {i} rose in the Northern market.") for i in range(400)]
