@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from filingloom.operators import nested, units
+from filingloom.plans import nested_sql
 from filingloom.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,10 @@ def _payload(name: str) -> Query:
     return lambda spark, sf_dir: nested.payload_table(load(spark, sf_dir, "parsed_documents"), name)
 
 
+def _semantic(name: str) -> Query:
+    return lambda spark, sf_dir: nested.semantic_row_table(load(spark, sf_dir, "parsed_tables"), name)
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_found": p2_found,
@@ -36,4 +41,10 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found,
         "p5_job_events": lambda spark, sf_dir: nested.job_events(load(spark, sf_dir, "ingestion_jobs")),
         **{f"p5_{t.name}": _payload(t.name) for t in nested.PAYLOAD_TARGETS},
+        **{f"p5_{t.name}": _semantic(t.name) for t in nested.SEMANTIC_ROW_TARGETS},
+        "p5_other_lists": lambda spark, sf_dir: nested.other_lists(load(spark, sf_dir, "parsed_documents"), load(spark, sf_dir, "parsed_tables")),
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    return nested_sql.oracle_sql()

@@ -32,3 +32,16 @@ def test_results_equal_sql(spark, name):
         return tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in row)
 
     assert sorted(map(comparable, want.fetchall())) == sorted(map(comparable, (tuple(r[c] for c in columns) for r in got.collect())))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_every_query_can_be_written(spark, tmp_path):
+    """Column names must be unique and every type storable."""
+    failed = {}
+    for name, query in contract.queries().items():
+        try:
+            df = query(spark, str(DATA))
+            df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "void"}).write.parquet(str(tmp_path / name))
+        except Exception as error:  # noqa: BLE001
+            failed[name] = str(error)[:200]
+    assert not failed
