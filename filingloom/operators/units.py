@@ -6,8 +6,9 @@ Steps:
    number in the value, and the unit, currency, title, headers and footnotes of the source table.
 2. Map each distinct spelling to a known alias: an inverted index over padded character trigrams
    yields candidates (prefix filter: the rarest trigrams, enough that no alias within the allowed
-   distance is missed), a weighted edit distance verifies them. Digits, currency signs and
-   ideographs cost more than letters, so that short signs never match each other.
+   distance is missed, swaps of neighbours included), a weighted edit distance verifies them. Digits,
+   currency signs and ideographs cost more than letters, so that short signs never match each other.
+   A spelling equally near to aliases of different meaning says nothing.
 3. Join the alias dictionary to all rows and convert: money to USD at the rate of the year in the
    period, energy to MWh, mass to tonnes, volume to cubic metres, ratios to plain numbers.
 
@@ -36,6 +37,8 @@ from filingloom.session import materialise
 BROADCAST_ROWS = 50_000
 #: Largest weighted edit distance, as a share of the alias length, that still counts as a typo.
 MAX_DISTANCE_SHARE = 0.12
+#: Length from which on one mistyped letter is allowed, however short the alias.
+TYPO_LENGTH = 6
 
 #: Spellings of currencies.
 CURRENCIES = {
@@ -135,7 +138,14 @@ def weighted_distance(a: str, b: str) -> float:
 
 
 def _allowed(length: Column) -> Column:
-    return F.floor(length * MAX_DISTANCE_SHARE)
+    """Weighted distance up to which a spelling counts as a typing error of an alias so long."""
+    return F.greatest(F.floor(length * MAX_DISTANCE_SHARE), (length >= TYPO_LENGTH).cast("int"))
+
+
+def _most_allowed(length: Column) -> Column:
+    """The same for the longest alias a spelling so long can be a typing error of."""
+    # an alias longer by d allows d at most: L + d stays below L / (1 - share)
+    return _allowed(F.ceil(length / (1 - MAX_DISTANCE_SHARE)) + 1)
 
 
 def _trigrams(text: Column) -> Column:
@@ -146,7 +156,7 @@ def _trigrams(text: Column) -> Column:
 def alias_dictionary(spark: SparkSession, spellings: DataFrame) -> DataFrame:
     """Dictionary ``spelling -> meaning`` for the distinct non-null values of one column.
 
-    A spelling takes the nearest alias within its allowed distance; ties go to the smaller alias.
+    A spelling takes the nearest alias within its allowed distance, and none if the nearest disagree.
     """
     from filingloom.functions.local import local_table
 
@@ -155,13 +165,15 @@ def alias_dictionary(spark: SparkSession, spellings: DataFrame) -> DataFrame:
     aliases = local_table(spark, alias_rows(), ALIAS_SCHEMA)
     postings = aliases.select("alias", F.explode(_trigrams(F.col("alias"))).alias("gram"))
     rarity = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("found"))
-    # d edits change at most 3 d trigrams: of the 3 d + 1 rarest of a spelling, an alias within
-    # d edits has at least one
+    # an edit changes at most 3 trigrams, a swap of neighbours 4: of the 4 d + 1 rarest of a spelling,
+    # an alias within d edits has at least one
     grams = distinct.select("spelling", F.explode(_trigrams(F.col("spelling"))).alias("gram"))
     ranked = grams.join(F.broadcast(rarity), "gram", "left").groupBy("spelling").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("found", F.lit(0)).alias("found"), "gram"))).alias("grams"))
-    probes = ranked.select("spelling", F.explode(F.slice("grams", 1, (_allowed(F.length("spelling")) * 3 + 1).cast("int"))).alias("probe")).select("spelling", F.col("probe.gram").alias("gram"))
-    near = F.abs(F.length("alias") - F.length("spelling")) <= _allowed(F.greatest(F.length("alias"), F.length("spelling")))
+    probes = ranked.select("spelling", F.explode(F.slice("grams", 1, (_most_allowed(F.length("spelling")) * 4 + 1).cast("int"))).alias("probe")).where("probe.found > 0").select("spelling", F.col("probe.gram").alias("gram"))
+    near = F.abs(F.length("alias") - F.length("spelling")) <= _allowed(F.length("alias"))
     candidates = probes.join(F.broadcast(postings), "gram").where(near).select("spelling", "alias").distinct()
+    # neighbours swapped are two plain edits: a bound that needs no Python
+    candidates = candidates.where(F.levenshtein("spelling", "alias") <= 2 * _allowed(F.length("alias")))
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -169,8 +181,11 @@ def alias_dictionary(spark: SparkSession, spellings: DataFrame) -> DataFrame:
 
     distance = distance.asNondeterministic()  # else the filter below makes it run twice
     verified = candidates.withColumn("distance", distance("spelling", "alias")).where(F.col("distance") <= _allowed(F.length("alias")))
-    nearest = verified.groupBy("spelling").agg(F.min(F.struct("distance", "alias")).alias("best")).select("spelling", F.col("best.alias").alias("alias"))
-    return nearest.join(F.broadcast(aliases), "alias").drop("alias")
+    meant = verified.join(F.broadcast(aliases), "alias").select("spelling", "distance", "alias", F.struct("currency", "dimension", "base", "factor").alias("meaning"))
+    # nearest first; of the aliases at the same distance all must mean the same
+    nearest = meant.groupBy("spelling", "distance").agg(F.min("meaning").alias("meaning"), F.min(F.to_json("meaning")).alias("low"), F.max(F.to_json("meaning")).alias("high"))
+    best = nearest.groupBy("spelling").agg(F.min_by(F.struct("meaning", (F.col("low") == F.col("high")).alias("agreed")), "distance").alias("b")).where("b.agreed")
+    return best.select("spelling", "b.meaning.currency", "b.meaning.dimension", "b.meaning.base", "b.meaning.factor")
 
 
 #: A number: grouped or plain digits with an optional fraction.

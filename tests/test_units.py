@@ -56,3 +56,36 @@ def test_empty(spark):
 
 def test_short_signs_never_match_by_likeness():
     assert units.weighted_distance("kg", "kt") >= 1 and units.weighted_distance("us$m", "hk$m") >= 2
+
+
+def _mapped(spark, spellings):
+    rows = spark.createDataFrame([(x,) for x in spellings], "s string")
+    return {r.spelling: (r.currency, r.dimension, r.base, r.factor) for r in units.alias_dictionary(spark, rows).collect()}
+
+
+def test_every_swap_and_loss_in_long_aliases_against_brute_force(spark):
+    aliases = {row[0]: row[1:] for row in units.alias_rows()}
+    chosen = ["million", "thousand", "inthousandsofusd", "inmillionsofusd", "kilowatthours"]
+    spellings = set()
+    for alias in chosen:
+        assert alias in aliases
+        spellings |= {alias[:i] + alias[i + 1] + alias[i] + alias[i + 2 :] for i in range(len(alias) - 1)} | {alias[:i] + alias[i + 1 :] for i in range(len(alias))} | {alias[:i] + "q" + alias[i:] for i in range(len(alias))}
+    got = _mapped(spark, spellings)
+
+    def allowed(alias):
+        return max(int(len(alias) * units.MAX_DISTANCE_SHARE), int(len(alias) >= units.TYPO_LENGTH))
+
+    want = {}
+    for spelling in spellings:
+        near = [(units.weighted_distance(spelling, a), m) for a, m in aliases.items() if abs(len(a) - len(spelling)) <= allowed(a)]
+        near = [(d, m, a) for (d, m), a in zip(near, [a for a in aliases if abs(len(a) - len(spelling)) <= allowed(a)]) if d <= allowed(a)]
+        best = min((d for d, _, _ in near), default=None)
+        meanings = {m for d, m, _ in near if d == best}
+        if len(meanings) == 1:
+            want[spelling] = meanings.pop()
+    assert got == want
+    assert {"milion", "thosand", "inthuosandsofusd", "inmilloinsofusd"} <= set(got)
+
+
+def test_spellings_between_two_meanings_say_nothing(spark):
+    assert _mapped(spark, ["illion", "zillion", "million", None]) == {"million": (None, "money", None, 1e6)}
