@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 #: Blanks other than the plain space.
 BLANKS = "               　"
-#: Cyrillic and Greek letters and the Latin letters they look like, pairwise.
-FOREIGN = "АВЕКМНОРСТУХІЈЅԌԚԜаеорсухіјѕһԛԝѵӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧονι"
-LATIN = "ABEKMHOPCTYXIJSGQWaeopcyxijshqwvlABEZHIKMNOPTYXovi"
+#: Letters of other scripts and the Latin letters they look like, pairwise: Cyrillic, Greek,
+#: Armenian, Cherokee, phonetic letters, Roman numerals of one letter.
+FOREIGN = "АВЕКМНОРСТУХІЈЅԌԚԜЬҮЗаеорсухіјѕһԛԝѵӏкԁүΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιαερκτυγηωχϲϳՕՏԼօսհոցզᎪᏴᏟᎬᏀᎻᎫᏦᏞᎷᏢᏒᎢᏙᏔᏃɡɑⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ"
+LATIN = "ABEKMHOPCTYXIJSGQWbY3aeopcyxijshqwvlkdyABEZHIKMNOPTYXoviaepktuynwxcjOSLouhngqABCEGHJKLMPRTVWZgaIVXLCDMivxlcdm"
+#: Of these the Greek letters that stand as symbols at the head of a short index ("αmax").
+GREEK_SYMBOLS = "αερκτυγηωχ"
 
 
 def _compatible(ranges: tuple[tuple[int, int], ...]) -> dict[str, str]:
@@ -27,20 +30,18 @@ def _compatible(ranges: tuple[tuple[int, int], ...]) -> dict[str, str]:
     return pairs
 
 
-#: Full-width letters and digits; CJK radicals and compatibility ideographs.
-WIDE = _compatible(((0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)))
+#: Full-width and mathematical letters and digits, half-width katakana; CJK radicals and compatibility ideographs.
+WIDE = _compatible(((0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0xFF66, 0xFF9D), (0x1D400, 0x1D6A5), (0x1D7CE, 0x1D7FF)))
 WIDE_PUNCTUATION = _compatible(((0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF5E)))
 IDEOGRAPHS = _compatible(((0x2E80, 0x2FDF), (0xF900, 0xFAFF)))
-#: Base letter with a combining mark, and the composed letter.
-COMPOSED = {d: chr(c) for low, high in ((0xC0, 0x24F), (0x1E00, 0x1EFF)) for c in range(low, high + 1) if len(d := unicodedata.normalize("NFD", chr(c))) == 2}
-
 
 def simple_fold(text: Column, punctuation: bool = False) -> Column:
     """Drop invisible characters, map blanks, wide forms and ideograph variants one to one."""
     pairs = {**WIDE, **IDEOGRAPHS, **(WIDE_PUNCTUATION if punctuation else {})}
     source = BLANKS + "".join(pairs) + INVISIBLE
     target = " " * len(BLANKS) + "".join(pairs.values())
-    return F.translate(text, source, target)
+    # most texts are plain ASCII and stay as they are
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, source, target))
 
 
 def foreign_fold(text: Column) -> Column:
