@@ -5,24 +5,29 @@ look-alike map. Folded spellings that are equal under the accent-sensitive Unico
 class (the collation also equates composed and combining accents); a deterministic member (without
 combining marks, shortest, smallest in byte order) is its canonical form and is joined back.
 
-Suspect is: an invisible character; a blank other than the plain one; a full-width letter or digit; a
-combining accent; a CJK radical or compatibility ideograph; a Latin ligature; a Cyrillic or Greek
-look-alike in a word with Latin letters; full-width punctuation in a text that is not Chinese.
-Words wholly in another script, single Greek symbols, superscripts and composed accents stay as
-they are. Null values and null keys yield no row, empty texts stay empty; repeated rows stay in
+Suspect is: an invisible character; a blank other than the plain one; a full-width or mathematical
+letter or digit; half-width katakana; a combining accent; a CJK radical or compatibility ideograph; a
+Latin ligature; a look-alike of another script (Cyrillic, Greek, Armenian, Cherokee, phonetic, Roman
+numeral) in a word with Latin letters; full-width punctuation in a text that is not Chinese.
+Words wholly in another script, single Greek symbols and those before a short index ("αmax"),
+superscripts, circled numbers (ordinary list marks) and composed letters (the Turkish dotless i among
+them) stay as they are. Null values and null keys yield no row, empty texts stay empty; repeated rows stay in
 ``normalised``; an empty table gives an empty result. Texts are processed whole.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.functions.lookalike import COMPOSED, FOREIGN, LATIN, simple_fold
+from filingloom.functions.lookalike import FOREIGN, GREEK_SYMBOLS, LATIN, simple_fold
+from filingloom.session import materialise
 
 _INVISIBLE = r"­͏؜ᅟᅠ᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿"
 _BLANK = r"   -     　"
-_WIDE = r"０-９Ａ-Ｚａ-ｚ"
+_WIDE = "０-９Ａ-Ｚａ-ｚｦ-ﾝ\U0001d400-\U0001d6a5\U0001d7ce-\U0001d7ff"
 _WIDE_PUNCTUATION = r"！-／：-＠［-｀｛-～"
 _MARK = r"̀-ͯ"
 _IDEOGRAPH = r"⺀-⿟豈-﫿"
@@ -31,6 +36,10 @@ _LATIN = r"A-Za-zÀ-ɏ"
 _HAN = r"[㐀-䶿一-鿿]"
 #: Latin ligatures and their letters.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+#: Base letter with a combining mark, and the composed letter (derived from Unicode data).
+COMPOSED = {d: chr(c) for low, high in ((0xC0, 0x24F), (0x1E00, 0x1EFF)) for c in range(low, high + 1) if len(d := unicodedata.normalize("NFD", chr(c))) == 2}
+#: A cheap test that most texts pass: nothing but ASCII, ideographs, composed letters and common signs.
+_UNUSUAL = r"[^\x00-\x7F一-鿿！-～、-】–-…À-ɏ€£¥]"
 #: Characters that are suspect wherever they stand.
 _ODD = f"{_INVISIBLE}{_WIDE}{_MARK}{_IDEOGRAPH}{_LIGATURE}"
 SUSPECT = f"[{_ODD}{_BLANK}{FOREIGN}]"
@@ -42,9 +51,10 @@ _SPAN_WITHOUT_HAN = f"{_SPAN}|[{_WIDE_PUNCTUATION}]+"
 
 def _spans(text: Column, chinese: Column) -> Column:
     """Suspect spans of a text, in order; empty for the many texts without any."""
-    plain = ~chinese & text.rlike(f"[{_WIDE_PUNCTUATION}]")
-    found = F.when(text.rlike(SUSPECT) & ~plain, F.regexp_extract_all(text, F.lit(_SPAN), F.lit(0))).when(plain, F.regexp_extract_all(text, F.lit(_SPAN_WITHOUT_HAN), F.lit(0)))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    suspect = text.rlike(f"{_UNUSUAL}|[{_WIDE}]") & text.rlike(SUSPECT)
+    found = F.when(F.octet_length(text) == F.length(text), none).when(text.rlike(f"[{_WIDE_PUNCTUATION}]") & ~chinese, F.regexp_extract_all(text, F.lit(_SPAN_WITHOUT_HAN), F.lit(0))).when(suspect, F.regexp_extract_all(text, F.lit(_SPAN), F.lit(0)))
+    return F.coalesce(found, none)
 
 
 def _folded(span: Column) -> Column:
@@ -54,7 +64,8 @@ def _folded(span: Column) -> Column:
         narrow = F.replace(narrow, F.lit(ligature), F.lit(letters))
     # a full-width mark on its own stands in a text without ideographs
     punctuation = F.when(span.rlike(f"^[{_WIDE_PUNCTUATION}]+$"), simple_fold(span, punctuation=True)).otherwise(narrow)
-    return F.when(punctuation.rlike(f"[{_LATIN}]"), F.translate(punctuation, FOREIGN, LATIN)).otherwise(punctuation)
+    symbol = punctuation.rlike(f"^[{GREEK_SYMBOLS}][A-Za-z]{{1,3}}$")
+    return F.when(punctuation.rlike(f"[{_LATIN}]") & ~symbol, F.translate(punctuation, FOREIGN, LATIN)).otherwise(punctuation)
 
 
 def _composed(text: Column) -> Column:
@@ -92,7 +103,8 @@ def text_values(tables: DataFrame, segments: DataFrame) -> DataFrame:
 
 def repairs(values: DataFrame) -> DataFrame:
     """(item_key, field_name, position, span, canonical) of every span that is not canonical."""
-    spans = values.select("item_key", "field_name", "position", F.explode(F.array_distinct(_spans(F.col("text"), F.col("chinese")))).alias("span"))
+    # the texts are read once: classes and join need the few suspect spans only
+    spans = materialise(values.select("item_key", "field_name", "position", F.explode(F.array_distinct(_spans(F.col("text"), F.col("chinese")))).alias("span")))
     return spans.join(spelling_classes(spans), "span").where("span <> canonical")
 
 

@@ -99,3 +99,16 @@ def test_confusion_distance():
 
 def test_noise_of_nothing(spark):
     assert noise.found(spark.createDataFrame([], "item_key string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("word,plain", [("pαyment", "payment"), ("ραyment", "payment"), ("ԁebt", "debt"), ("marɡin", "margin"), ("lⅰne", "line"), ("\U0001d400ssets", "Assets"), ("ｱ", "ア"), ("Ꭺssets", "Assets"), ("օwned", "owned"), ("кey", "key")])
+def test_look_alikes_of_many_scripts(spark, word, plain):
+    tables = spark.createDataFrame([("t", f"Total {word} due", None)], "id string, title string, headers array<string>")
+    values = canonical.text_values(tables, spark.createDataFrame([], "segment_id string, content string"))
+    assert canonical.normalised(values).first().text == f"Total {plain} due"
+
+
+@pytest.mark.parametrize("text", ["αmax of the β-test, Δt and ω", "①存货 ②应收", "АКТИВЫ всего", "İşık ve kârı", "10² m³ naïve Ç", "（一）公司概况：见附注。"])
+def test_ordinary_texts_stay(spark, text):
+    tables = spark.createDataFrame([("t", text, None)], "id string, title string, headers array<string>")
+    assert canonical.found(canonical.text_values(tables, spark.createDataFrame([], "segment_id string, content string"))).count() == 0
