@@ -131,3 +131,19 @@ def test_resolution(spark):
 def test_bands_follow_the_collision_curve():
     bands = names.bands_needed(0.5, 0.9, 3)
     assert 1 - (1 - 0.5**3) ** bands >= 0.9 > 1 - (1 - 0.5**3) ** (bands - 1)
+
+
+@pytest.mark.parametrize("text,span", [
+    ("write to 1600 Amphitheatre Parkway, Mountain View CA 94043.", ("address", "1600 Amphitheatre Parkway, Mountain View CA 94043")), ("call 415-234-5678 or mail", ("phone", "415-234-5678")), ("at +81 3-5555-0123, daily", ("phone", "+81 3-5555-0123")),
+    ("Tel. +33 1 23 45 67 89", ("phone", "+33 1 23 45 67 89")), ("passport C01X00T47 of", ("id_number", "C01X00T47")), ("growth of +12 34 points", None), ("12 Long Lane, Saint Mary Mead SW1A 1AA", ("address", "12 Long Lane, Saint Mary Mead SW1A 1AA")),
+])
+def test_forms_of_many_countries(text, span):
+    assert [(k, text[a:b]) for k, a, b in personal.structured_spans(text)] == ([span] if span else [])
+
+
+def test_windows_find_what_whole_texts_hold():
+    """Anchored search equals the search of the whole text."""
+    filler = " Revenue of 12.4 million in 2012, 2013 and 2014 rose; see page 7. " * 40
+    parts = ["Wexdenallee 8, 08108 Merhaven", "P.O. Box 2, Jorfell ZZ 00308", "Flat 7, 366 Gartarn Avenue, Penholm ZZ7 6QQ", "(489) 555-0106 ext. 9", "+44 20 7946 0894", "x@y.org"]
+    text = filler.join(parts)
+    assert [text[a:b] for _, a, b in sorted(personal.structured_spans(text), key=lambda s: s[1])] == parts
