@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingloom.session import materialise
@@ -41,7 +41,7 @@ MARGIN = 0.015
 #: Phrases that stand for whoever files.
 GENERIC = ("the company", "the group", "the registrant", "the issuer", "the corporation", "the bank", "the parent", "the parent company", "the undersigned", "company", "group", "registrant", "issuer", "our company", "we", "us", "本公司", "公司", "本集团", "集团", "发行人", "母公司", "该公司", "贵公司", "我公司", "我们", "die gesellschaft", "der konzern", "das unternehmen")
 #: Legal forms and the class each belongs to.
-LEGAL = {"ltd": "ltd", "limited": "ltd", "plc": "plc", "llc": "llc", "inc": "inc", "incorporated": "inc", "corp": "corp", "corporation": "corp", "co": "co", "company": "co", "holdings": "", "holding": "", "hldgs": "", "hldg": "", "group": "", "grp": "", "gp": "", "sons": "", "son": "", "and": "", "gmbh": "gmbh", "ag": "ag", "lp": "lp", "llp": "llp", "sa": "sa", "nv": "nv"}
+LEGAL = {"ltd": "ltd", "limited": "ltd", "plc": "plc", "llc": "llc", "inc": "inc", "incorporated": "inc", "corp": "corp", "corporation": "corp", "co": "co", "company": "co", "holdings": "", "holding": "", "hldgs": "", "hldg": "", "group": "", "grp": "", "gp": "", "sons": "", "son": "", "and": "", "gmbh": "gmbh", "ag": "ag", "aktiengesellschaft": "ag", "gesellschaft": "", "kg": "kg", "kgaa": "kgaa", "se": "se", "bv": "bv", "spa": "spa", "srl": "srl", "oyj": "oyj", "pty": "pty", "pte": "pte", "sarl": "sarl", "lp": "lp", "llp": "llp", "sa": "sa", "nv": "nv"}
 #: Courtesy titles.
 TITLES = frozenset("mr ms mrs miss dr prof sir the of".split())
 #: Given names and their short forms.
@@ -56,7 +56,7 @@ HOMOPHONES = ("翰瀚汉", "鼎顶", "清青", "弘宏红洪", "晟盛胜圣", "
 _SOUND = {c: group[0] for group in HOMOPHONES for c in group}
 #: Branches of business at the end of Chinese company names.
 BRANCHES = ("环保材料", "装备制造", "生物医药", "电子科技", "食品科技", "信息技术", "新能源", "新材料", "房地产", "半导体", "物流", "包装", "光电", "化工", "纺织", "轴承", "机械", "医药", "科技", "食品", "材料", "能源", "电子", "制造", "软件", "钢铁", "水泥", "玻璃", "造纸", "航运", "电力", "水务", "证券", "银行", "保险", "汽车", "通信", "建设", "投资", "贸易", "农业", "传媒", "制药", "仪器", "机器人")
-_ZH_LEGAL = re.compile(r"(?:集团)?(?:股份)?(?:有限)?(?:责任)?(?:总)?公司$|集团$")
+_ZH_LEGAL = re.compile(r"(?:集团)?(?:控股)?(?:集团)?(?:股份)?(?:有限)?(?:责任)?(?:总)?公司$|(?:控股)?集团$")
 _HAN = re.compile(r"[㐀-鿿]")
 
 
@@ -90,8 +90,10 @@ def _chinese(text: str) -> tuple[str, ...]:
     text = re.sub(r"\s", "", text)
     inside = "".join(re.findall(r"\(([^)]*)\)", text))
     core = _ZH_LEGAL.sub("", re.sub(r"\([^)]*\)", "", text))
-    branch = next((b for b in BRANCHES if core.endswith(b) and len(core) > len(b)), "")
-    rest = core[: len(core) - len(branch)] + inside
+    brand = core
+    while ending := next((b for b in BRANCHES if brand.endswith(b) and len(brand) - len(b) >= (1 if brand == core else 2)), ""):
+        brand = brand[: -len(ending)]
+    branch, rest = core[len(brand) :], brand + inside
     if len(rest) > 3:
         rest = rest.replace("市", "")
     return (branch, *(rest[i : i + 2] for i in range(0, len(rest), 2)))
@@ -169,18 +171,31 @@ def _merged(a: list[str], b: list[str]) -> list[str]:
     return out
 
 
-def monge_elkan(a: list[str], b: list[str], count_a: dict[str, int], count_b: dict[str, int]) -> float:
+def monge_elkan(a: list[str], b: list[str], count_a: dict[str, int], count_b: dict[str, int], inner=None) -> float:
     """Mean of the best partner similarities, both ways at once; 0 if a word is left without one.
 
-    Single letters are initials: they may be missing on one side, but must not differ.
+    Single letters are initials: they may be missing on one side, but must not differ. Equal words
+    are each other's best partners and are taken first; only the rest is compared.
     """
-    a, b = _merged(a, b), _merged(b, a)
-    pairs = sorted(((s, i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := token_similarity(x, y, count_a.get(x, 1), count_b.get(y, 1))) > 0), key=lambda p: (-p[0], abs(p[1] - p[2]), p[1]))
-    left, right, total, weight, whole = set(range(len(a))), set(range(len(b))), 0.0, 0, 0
+    if inner is None:
+        inner = token_similarity
+        if len(a) != len(b):
+            a, b = _merged(a, b), _merged(b, a)
+    left, right = dict.fromkeys(range(len(a))), dict.fromkeys(range(len(b)))
+    total, weight, whole = 0.0, 0, 0
+    for i, x in enumerate(a):
+        j = min((j for j in right if b[j] == x), key=lambda j: abs(i - j), default=None)
+        if j is not None:
+            del left[i], right[j]
+            total, weight, whole = total + 1.0, weight + 1, whole + (len(x) > 1)
+    # a word needs a word or an initial as its partner
+    if sum(len(a[i]) > 1 for i in left) > len(right) or sum(len(b[j]) > 1 for j in right) > len(left):
+        return 0.0
+    pairs = sorted(((s, i, j) for i in left for j in right if (s := inner(a[i], b[j], count_a.get(a[i], 1), count_b.get(b[j], 1))) > 0), key=lambda p: (-p[0], abs(p[1] - p[2]), p[1]))
     stood = []  # initials that stand for a word of the other name
     for s, i, j in pairs:
         if i in left and j in right:
-            left.discard(i), right.discard(j)
+            del left[i], right[j]
             total += s
             weight += 1
             whole += len(a[i]) > 1 and len(b[j]) > 1
@@ -200,20 +215,35 @@ def monge_elkan(a: list[str], b: list[str], count_a: dict[str, int], count_b: di
     return (total + 0.9 * missing) / (weight + missing)
 
 
+def unit_similarity(a: str, b: str, n_a: int = 1, n_b: int = 1) -> float:
+    """Similarity of two units of Chinese names: equal, or of the same sound character by character."""
+    return 1.0 if a == b else 0.94 if len(a) == len(b) and sound(a) == sound(b) else 0.0
+
+
 def chinese_similarity(a: list[str], b: list[str]) -> float:
-    """Equal branch, equal or like-sounding brand; the place may be missing and may change its position."""
-    if a[0] != b[0] or len(a) < 2 or len(b) < 2:
+    """Monge-Elkan over the units of two Chinese names, the shorter against the longer.
+
+    Equal branch, equal or like-sounding brand; the place may be missing and may change its position.
+    One of the names may lack the branch: then the rest must be equal.
+    """
+    if len(a) < 2 or len(b) < 2:
         return 0.0
+    if a[0] != b[0]:
+        bare, other = (a, b) if not a[0] else (b, a)
+        if bare[0]:
+            return 0.0
+        # the brand alone may end within a unit of the longer name
+        return 0.82 if len("".join(bare[1:])) >= 2 and "".join(bare[1:]) == "".join(other[1:]) else 0.0
     short, long = sorted((list(a[1:]), list(b[1:])), key=len)
+    if len(long) - len(short) > 1:
+        return 0.0
     total = 0.0
     for unit in short:
-        best = max(((1.0 if unit == u else 0.94 if sound(unit) == sound(u) and len(unit) == len(u) else 0.0), -k) for k, u in enumerate(long))
+        best = max(((unit_similarity(unit, u), -k) for k, u in enumerate(long)))
         if not best[0]:
             return 0.0
         total += best[0]
         long.pop(-best[1])
-    if len(long) > 1:
-        return 0.0
     # a lone brand is weak: what is left over on the other side must be its place, not its brand
     return (total + 0.88 * len(long)) / (len(short) + len(long))
 
@@ -282,11 +312,8 @@ def band_keys(form: tuple[str, ...], bands: int, rows: int, q: int = 2) -> list[
     return [f"{i}:" + ":".join(map(str, band)) for i, band in enumerate(signature.tolist())]
 
 
-def _spellings(names: DataFrame, known: DataFrame, bands: int) -> DataFrame:
-    """Distinct spellings with their normal form, word counts over the spellings of known entities and band keys.
-
-    Mentions do not count: however often a misspelling is mentioned, it stays one.
-    """
+def _spellings(names: DataFrame, bands: int) -> DataFrame:
+    """Distinct spellings with their normal form and band keys."""
     parsed_type = "struct<script:string,core:array<string>,legal:string,keys:array<string>>"
 
     @F.pandas_udf(parsed_type)
@@ -299,59 +326,103 @@ def _spellings(names: DataFrame, known: DataFrame, bands: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["script", "core", "legal", "keys"])
 
     distinct = names.where("name IS NOT NULL AND trim(name) <> ''").select("name").distinct()
-    parsed = materialise(distinct.withColumn("p", parse.asNondeterministic()("name")).select("name", "p.*").where("script <> ''"))
+    # spread: a small column is heavy work here
+    spread = distinct.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialise(spread.withColumn("p", parse.asNondeterministic()("name")).select("name", "p.*").where("script <> ''"))
+
+
+def _word_counts(parsed: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(name, counts): in how many spellings of the vocabulary each word of a name occurs."""
     words = parsed.where("script = 'en'").select("name", F.explode(F.array_distinct("core")).alias("word"))
-    counts = words.join(known.select("name").distinct(), "name", "left_semi").groupBy("word").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    counted = words.join(counts, "word").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
-    return parsed.join(counted, "name", "left")
+    counts = words.join(vocabulary.select("name").distinct(), "name", "left_semi").groupBy("word").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return words.join(counts, "word").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
+
 
+def _possible(x: str, y: str) -> Column:
+    """A bound that needs no Python: false only where ``similarity`` is below the threshold for sure.
 
-def links(known: DataFrame, names: DataFrame) -> DataFrame:
+    Different forms of law halve the score. Every word of more than a letter needs a partner: an equal
+    word, another word left over, an initial, or two words one was split into. Two lone words left
+    over must begin alike (abbreviations), be near (typing errors) or be given names.
+    """
+    a, b = F.col(f"{x}.core"), F.col(f"{y}.core")
+    legal = (F.col(f"{x}.legal") == "") | (F.col(f"{y}.legal") == "") | (F.col(f"{x}.legal") == F.col(f"{y}.legal"))
+
+    def rest(c: Column, d: Column) -> Column:
+        return F.filter(F.array_except(c, d), lambda w: F.length(w) > 1)
+
+    def initials(c: Column) -> Column:
+        return F.size(F.filter(c, lambda w: F.length(w) == 1))
+
+    left, right = rest(a, b), rest(b, a)
+    repeated = (F.size(F.array_distinct(a)) < F.size(a)) | (F.size(F.array_distinct(b)) < F.size(b))
+    enough = (F.size(left) <= 2 * F.size(right) + initials(b)) & (F.size(right) <= 2 * F.size(left) + initials(a))
+    one, two = F.get(left, F.lit(0)), F.get(right, F.lit(0))
+    given = list(NICKNAMES) + list(_NICK)
+    alike = (F.left(one, F.lit(1)) == F.left(two, F.lit(1))) | (F.levenshtein(one, two) <= 4) | one.isin(given) | two.isin(given)
+    lone = (F.size(left) == 1) & (F.size(right) == 1) & (initials(a) + initials(b) == 0)
+    several = (enough | repeated) & (~lone | alike | repeated)
+    # one word alone: equal, or the initials of the other name
+    single = (F.size(a) == 1) | (F.size(b) == 1)
+    letters = (F.greatest(F.size(a), F.size(b)) >= 3) & (F.greatest(F.length(F.get(a, F.lit(0))), F.length(F.get(b, F.lit(0)))) >= 3)
+    english = legal & F.when(single, (a == b) | letters).otherwise(several)
+    chinese = (F.get(a, F.lit(0)) == F.get(b, F.lit(0))) | (F.get(a, F.lit(0)) == "") | (F.get(b, F.lit(0)) == "")
+    return F.when(F.col(f"{x}.script") == "en", english).otherwise(chinese)
+
+
+def links(known: DataFrame, names: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """(name, known_name, score): verified links of spellings to the spellings of known entities.
 
-    ``known`` and ``names`` have the one column ``name``; a spelling is not linked to itself.
+    ``known``, ``names`` and ``vocabulary`` (default: ``known``) have the one column ``name``; a spelling
+    is not linked to itself.
     """
-    spelled = materialise(_spellings(known.unionByName(names), known, bands_needed()))
+    vocabulary = known if vocabulary is None else vocabulary
+    spelled = _spellings(known.unionByName(names).unionByName(vocabulary), bands_needed())
     referenced = spelled.join(known.select("name").distinct(), "name", "left_semi")
+    wanted = spelled.join(known.unionByName(names).select("name").distinct(), "name", "left_semi")
     posted = referenced.select(F.explode("keys").alias("key"), F.col("name").alias("known_name"))
-    probes = spelled.select(F.explode("keys").alias("key"), "name")
+    probes = wanted.select(F.explode("keys").alias("key"), "name")
     pairs = probes.join(posted, "key").where("name <> known_name").select("name", "known_name").distinct()
 
     def facts(prefix: str, df: DataFrame, key: str) -> DataFrame:
-        return df.select(F.col("name").alias(key), F.struct("script", "core", "legal", "counts").alias(prefix))
+        return df.select(F.col("name").alias(key), F.struct("script", "core", "legal").alias(prefix))
 
-    full = pairs.join(facts("x", spelled, "name"), "name").join(facts("y", referenced, "known_name"), "known_name")
-    full = full.where("x.script = y.script")
+    full = pairs.join(facts("x", wanted, "name"), "name").join(facts("y", referenced, "known_name"), "known_name")
+    full = full.where((F.col("x.script") == F.col("y.script")) & _possible("x", "y"))
+    counts = _word_counts(spelled, vocabulary)
+    full = full.join(counts.withColumnRenamed("counts", "n_x"), "name", "left").join(counts.select(F.col("name").alias("known_name"), F.col("counts").alias("n_y")), "known_name", "left")
 
     @F.pandas_udf("double")
-    def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.Series:
-        def rows(df: pd.DataFrame) -> list[tuple]:
-            return [((s, tuple(c), g), dict(n) if n is not None else {}) for s, c, g, n in zip(df["script"], df["core"], df["legal"], df["counts"])]
+    def score(x: pd.DataFrame, y: pd.DataFrame, n_x: pd.Series, n_y: pd.Series) -> pd.Series:
+        def rows(df: pd.DataFrame, counted: pd.Series) -> list[tuple]:
+            return [((s, tuple(c), g), dict(n) if n is not None else {}) for s, c, g, n in zip(df["script"], df["core"], df["legal"], counted)]
 
-        return pd.Series([similarity(a, b, na, nb) for (a, na), (b, nb) in zip(rows(x), rows(y))], dtype="float64")
+        return pd.Series([similarity(a, b, na, nb) for (a, na), (b, nb) in zip(rows(x, n_x), rows(y, n_y))], dtype="float64")
 
-    return full.select("name", "known_name", score.asNondeterministic()("x", "y").alias("score")).where(F.col("score") >= THRESHOLD)
+    return full.select("name", "known_name", score.asNondeterministic()("x", "y", "n_x", "n_y").alias("score")).where(F.col("score") >= THRESHOLD)
 
 
 def star_clusters(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, centre): star clustering of ``edges (a, b, score)``, both directions given.
 
     The node with most links among its open neighbours becomes a centre (ties: the smaller key) and
-    takes them; each goes to its best centre. Repeated until every node has one.
+    takes them; each goes to its best centre. Degrees are counted anew among the open nodes, until
+    every node has a centre: every round closes at least one node, most close nearly all.
     """
-    degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    ranked = materialise(edges.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("degree").alias("degree_b")), "b"))
-    done = None
-    while True:
+    open_edges, done = edges, None
+    while not open_edges.isEmpty():
+        degree = open_edges.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+        ranked = open_edges.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("degree").alias("degree_b")), "b")
         ahead = (F.col("degree_b") > F.col("degree")) | ((F.col("degree_b") == F.col("degree")) & (F.col("b") < F.col("a")))
-        beaten = ranked.where(ahead).select("a").distinct()
-        centres = ranked.select("a").distinct().join(beaten, "a", "left_anti")
-        taken = ranked.join(centres.select(F.col("a").alias("b")), "b", "left_semi").groupBy("a").agg(F.max(F.struct("score", "degree_b", "b")).alias("best")).select(F.col("a").alias("node"), F.col("best.b").alias("centre"))
-        step = materialise(centres.select(F.col("a").alias("node"), F.col("a").alias("centre")).unionByName(taken))
+        # a node is a centre if no open neighbour goes before it
+        judged = materialise(ranked.groupBy("a").agg(F.max(ahead).alias("beaten"), F.first("degree").alias("degree")))
+        centres = judged.where("NOT beaten").select(F.col("a").alias("b"), F.col("degree").alias("degree_b"))
+        taken = open_edges.join(centres, "b").groupBy("a").agg(F.max(F.struct("score", "degree_b", "b")).alias("best")).select(F.col("a").alias("node"), F.col("best.b").alias("centre"))
+        step = materialise(centres.select(F.col("b").alias("node"), F.col("b").alias("centre")).unionByName(taken))
         done = step if done is None else done.unionByName(step)
-        ranked = materialise(ranked.join(step.select(F.col("node").alias("a")), "a", "left_anti").join(step.select(F.col("node").alias("b")), "b", "left_anti"))
-        if ranked.isEmpty():
-            break
+        open_edges = materialise(open_edges.join(step.select(F.col("node").alias("a")), "a", "left_anti").join(step.select(F.col("node").alias("b")), "b", "left_anti"))
+    if done is None:
+        return nodes.select("node", F.col("node").alias("centre"))
     return nodes.select(F.col("node")).join(done, "node", "left").select("node", F.coalesce("centre", "node").alias("centre"))
 
 
@@ -380,6 +451,25 @@ def resolve(entities: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFr
     return clusters, ranked.where(clear).select("name", F.get("c", F.lit(0))["cluster"].alias("cluster"), F.get("c", F.lit(0))["score"].alias("score"))
 
 
+def unlisted(entities: DataFrame, mentions: DataFrame, spelled: DataFrame) -> DataFrame:
+    """(name, cluster, score): mentions of entities without a row, linked among themselves.
+
+    ``spelled`` are the mentions that have a row. Words are counted over the known entities alone, so
+    that the verdict on a pair does not change with the number of mentions. A cluster bears the name
+    of its centre.
+    """
+    known = _known_names(entities).select("name").distinct()
+    rest = mentions.where("name IS NOT NULL").select("name").distinct().join(known, "name", "left_anti").join(spelled.select("name"), "name", "left_anti")
+    rest = materialise(rest)
+    found = materialise(links(rest, rest.limit(0), known))
+    edges = found.select(F.col("name").alias("a"), F.col("known_name").alias("b"), "score")
+    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).groupBy("a", "b").agg(F.max("score").alias("score"))
+    clusters = star_clusters(materialise(edges), rest.select(F.col("name").alias("node")))
+    best = found.select("name", F.col("known_name").alias("cluster"), "score")
+    joined = clusters.select(F.col("node").alias("name"), F.col("centre").alias("cluster")).join(best, ["name", "cluster"], "left")
+    return joined.select("name", "cluster", F.coalesce("score", F.lit(1.0)).alias("score"))
+
+
 def mentions_of(entities: DataFrame, observations: DataFrame) -> DataFrame:
     """Mentions and observations as ``(key, name)``."""
     people = entities.select(F.col("mention_id").alias("key"), "name")

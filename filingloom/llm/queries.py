@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from filingloom.llm import canonical, mixing, names, noise, packing, personal, split, survivor
 from filingloom.operators import nested
+from filingloom.session import materialise
 from filingloom.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +24,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.resolve(load(spark, sf_dir, "resolved_entities"), _mentions(spark, sf_dir))[1]
+    """Every new spelling with its cluster: of known entities, or of mentions without a row."""
+    entities, mentions = load(spark, sf_dir, "resolved_entities"), _mentions(spark, sf_dir)
+    spelled = materialise(names.resolve(entities, mentions)[1])
+    rest = names.unlisted(entities, mentions, spelled)
+    return spelled.withColumn("listed", F.lit(True)).unionByName(rest.withColumn("listed", F.lit(False)))
 
 
 def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

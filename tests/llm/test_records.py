@@ -109,6 +109,7 @@ def test_chinese_names_without_a_listed_cue(spark):
     ("Ravstead Wyncross Bearings LLC", "Bearings, Ravstead Wyncross L.L.C.", True), ("Lindgate Yarcross Semiconductor Ltd", "LindgateYarcrossSemiconductor", True), ("Iskwick Isktarn General Paper & Sons Ltd", "Iskwcik Isktarn Gen. Paper and Sons Limited", True), ("Caldervale Power plc", "Cald-ervale Power PLC", True),
     ("Iskwick Isktarn General Paper & Sons Ltd", "IIGP", True), ("Bramden Industrial Pharmaceuticals Ltd", "Bramden International Pharmaceuticals Ltd", False), ("Marlcross Software Limited", "Marlcross Shipping Limited", False), ("Fensund Glass plc", "Fensund Glass Inc.", False),
     ("Katherine M. Perrygost", "Perrygost, Kathy", True), ("Michael E. Wolverdine", "M. E. Wolverdine", True), ("Elizabeth Wolverdine", "M. E. Wolverdine", False), ("Gabriela L. Ruskeld", "Gabriela P. Ruskeld", False), ("Michael P. Nassgrove", "Mike N. Perrygost", False), ("澄浦昊铭环保材料有限责任公司", "昊铭环保材料（澄浦）股份有限公司", True), ("桐港恒珩装备制造股份有限公司", "衡珩装备制造", True), ("桐港恒珩装备制造股份有限公司", "桐港恒珩物流股份有限公司", False), ("the Company", "the Company", False),
+    ("小米科技有限责任公司", "小米集团", True), ("阿里巴巴集团控股有限公司", "阿里巴巴", True), ("宁德时代新能源科技股份有限公司", "宁德时代", True), ("Siemens Aktiengesellschaft", "Siemens AG", True), ("Siemens Aktiengesellschaft", "Siemens plc", False),
 ])
 def test_name_similarity(a, b, linked):
     assert (names.similarity(names.normalise(a), names.normalise(b), {}, {}) >= names.THRESHOLD) is linked
@@ -147,3 +148,26 @@ def test_windows_find_what_whole_texts_hold():
     parts = ["Wexdenallee 8, 08108 Merhaven", "P.O. Box 2, Jorfell ZZ 00308", "Flat 7, 366 Gartarn Avenue, Penholm ZZ7 6QQ", "(489) 555-0106 ext. 9", "+44 20 7946 0894", "x@y.org"]
     text = filler.join(parts)
     assert [text[a:b] for _, a, b in sorted(personal.structured_spans(text), key=lambda s: s[1])] == parts
+
+
+def test_mentions_without_a_row_are_linked_among_themselves(spark):
+    entities = spark.createDataFrame([("e1", "Ravstead Wyncross Bearings LLC", None)], "entity_id string, canonical_name string, aliases array<string>")
+    rows = ["Marlcross Shipping Lines plc", "Marlcros Shipping Lines plc", "Shipping Lines, Marlcross", "Penholm Foods Group Ltd", "the Company", "Ravstead Wyncros Bearings LLC"]
+    mentions = spark.createDataFrame([(f"m{i}", n) for i, n in enumerate(rows)], "key string, name string")
+    spelled = names.resolve(entities, mentions)[1]
+    assert [r.name for r in spelled.collect()] == ["Ravstead Wyncros Bearings LLC"]
+    got = {r.name: r.cluster for r in names.unlisted(entities, mentions, spelled).collect()}
+    assert len({got[n] for n in rows[:3]}) == 1 and got[rows[3]] == rows[3] and rows[5] not in got
+
+
+def test_bound_before_scoring_loses_no_link(spark):
+    """Every pair the score accepts passes the bound that needs no Python."""
+    import itertools
+
+    samples = ["Ravstead Wyncross Bearings LLC", "Bearings, Ravstead Wyncross", "LindgateYarcrossSemiconductor", "Lindgate Yarcross Semiconductor Ltd", "Iskwcik Isktarn Gen. Paper and Sons", "Iskwick Isktarn General Paper & Sons Ltd", "IIGP", "Katherine M. Perrygost", "Perrygost, Kathy", "K. Perrygost", "Kathy Perrygost", "Caldervale Power plc", "Cald-ervale Power PLC", "Calder vale Power", "桐港恒珩装备制造股份有限公司", "衡珩装备制造", "桐港恒珩物流", "Siemens AG", "Siemens", "Michael E. Wolverdine", "M. E. Wolverdine", "Hong Hong Foods", "Hong Foods"]
+    parsed = {n: names.normalise(n) for n in samples}
+    rows = [(a, b, *((p[0], list(p[1]), p[2]) for p in (parsed[a], parsed[b]))) for a, b in itertools.permutations(samples, 2) if parsed[a][0] == parsed[b][0]]
+    kind = "struct<script:string,core:array<string>,legal:string>"
+    df = spark.createDataFrame(rows, f"a string, b string, x {kind}, y {kind}").withColumn("ok", names._possible("x", "y"))
+    lost = [(r.a, r.b) for r in df.collect() if not r.ok and names.similarity(parsed[r.a], parsed[r.b], {}, {}) >= names.THRESHOLD]
+    assert lost == [] and df.where("ok").count() < df.count() / 2
