@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from filingloom.session import materialise
 
 MIN_JACCARD, RECALL, ROWS = 0.45, 0.93, 4
+#: Distinct spellings up to which their normal forms are broadcast.
+BROADCAST_ROWS = 50_000
 #: Verified similarity from which on two spellings are linked.
 THRESHOLD = 0.8
 #: A clearly better cluster: the runner-up must lie this far behind.
@@ -342,31 +344,43 @@ def _possible(x: str, y: str) -> Column:
     """A bound that needs no Python: false only where ``similarity`` is below the threshold for sure.
 
     Different forms of law halve the score. Every word of more than a letter needs a partner: an equal
-    word, another word left over, an initial, or two words one was split into. Two lone words left
-    over must begin alike (abbreviations), be near (typing errors) or be given names.
+    word, an initial, or a word left over that begins alike (abbreviations), is near (typing errors),
+    has a short form (given names) or is one of two words the other was split into. Of Chinese names
+    every unit of the shorter must sound like one of the longer.
     """
     a, b = F.col(f"{x}.core"), F.col(f"{y}.core")
     legal = (F.col(f"{x}.legal") == "") | (F.col(f"{y}.legal") == "") | (F.col(f"{x}.legal") == F.col(f"{y}.legal"))
+    nicks = list(_NICK)
 
     def rest(c: Column, d: Column) -> Column:
         return F.filter(F.array_except(c, d), lambda w: F.length(w) > 1)
 
     def initials(c: Column) -> Column:
-        return F.size(F.filter(c, lambda w: F.length(w) == 1))
+        return F.exists(c, lambda w: F.length(w) == 1)
+
+    def part(w: Column, v: Column) -> Column:
+        return (F.length(w) < F.length(v)) & ((F.levenshtein(F.left(v, F.length(w)), w) <= 1) | (F.levenshtein(F.right(v, F.length(w)), w) <= 1) | (F.levenshtein(F.right(v, F.length(w) + 1), w) <= 1))
+
+    def alike(w: Column, v: Column) -> Column:
+        # a swap of neighbours is two plain edits
+        near = F.levenshtein(w, v) <= F.when(F.least(F.length(w), F.length(v)) < 6, 2).otherwise(4)
+        begins = (F.left(w, F.lit(1)) == F.left(v, F.lit(1))) & (F.length(w) != F.length(v))
+        split = (F.size(a) != F.size(b)) & (part(w, v) | part(v, w))
+        return near | begins | w.isin(nicks) | v.isin(nicks) | split
 
     left, right = rest(a, b), rest(b, a)
-    repeated = (F.size(F.array_distinct(a)) < F.size(a)) | (F.size(F.array_distinct(b)) < F.size(b))
-    enough = (F.size(left) <= 2 * F.size(right) + initials(b)) & (F.size(right) <= 2 * F.size(left) + initials(a))
-    one, two = F.get(left, F.lit(0)), F.get(right, F.lit(0))
-    given = list(NICKNAMES) + list(_NICK)
-    alike = (F.left(one, F.lit(1)) == F.left(two, F.lit(1))) | (F.levenshtein(one, two) <= 4) | one.isin(given) | two.isin(given)
-    lone = (F.size(left) == 1) & (F.size(right) == 1) & (initials(a) + initials(b) == 0)
-    several = (enough | repeated) & (~lone | alike | repeated)
+    repeated = (F.size(F.array_distinct(a)) < F.size(a)) | (F.size(F.array_distinct(b)) < F.size(b)) | (F.size(a) != F.size(b)) & (F.size(left) + F.size(right) <= 2)
+    partners = (initials(b) | F.forall(left, lambda w: F.exists(right, lambda v: alike(w, v)))) & (initials(a) | F.forall(right, lambda v: F.exists(left, lambda w: alike(w, v))))
     # one word alone: equal, or the initials of the other name
+    letters = (F.size(a) == 1) & (F.length(F.get(a, F.lit(0))) == F.size(b)) | (F.size(b) == 1) & (F.length(F.get(b, F.lit(0))) == F.size(a))
     single = (F.size(a) == 1) | (F.size(b) == 1)
-    letters = (F.greatest(F.size(a), F.size(b)) >= 3) & (F.greatest(F.length(F.get(a, F.lit(0))), F.length(F.get(b, F.lit(0)))) >= 3)
-    english = legal & F.when(single, (a == b) | letters).otherwise(several)
-    chinese = (F.get(a, F.lit(0)) == F.get(b, F.lit(0))) | (F.get(a, F.lit(0)) == "") | (F.get(b, F.lit(0)) == "")
+    english = legal & F.when(single, (a == b) | letters).otherwise(partners | repeated)
+    branch = (F.get(a, F.lit(0)) == F.get(b, F.lit(0))) | (F.get(a, F.lit(0)) == "") | (F.get(b, F.lit(0)) == "")
+
+    def sounds(c: Column) -> Column:
+        return F.transform(F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda u: F.translate(u, "".join(_SOUND), "".join(_SOUND.values())))
+
+    chinese = branch & ((F.size(F.array_except(sounds(a), sounds(b))) == 0) | (F.size(F.array_except(sounds(b), sounds(a))) == 0))
     return F.when(F.col(f"{x}.script") == "en", english).otherwise(chinese)
 
 
@@ -387,7 +401,12 @@ def links(known: DataFrame, names: DataFrame, vocabulary: DataFrame | None = Non
     def facts(prefix: str, df: DataFrame, key: str) -> DataFrame:
         return df.select(F.col("name").alias(key), F.struct("script", "core", "legal").alias(prefix))
 
-    full = pairs.join(facts("x", wanted, "name"), "name").join(facts("y", referenced, "known_name"), "known_name")
+    small = wanted.count() <= BROADCAST_ROWS
+
+    def sized(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
+    full = pairs.join(sized(facts("x", wanted, "name")), "name").join(sized(facts("y", referenced, "known_name")), "known_name")
     full = full.where((F.col("x.script") == F.col("y.script")) & _possible("x", "y"))
     counts = _word_counts(spelled, vocabulary)
     full = full.join(counts.withColumnRenamed("counts", "n_x"), "name", "left").join(counts.select(F.col("name").alias("known_name"), F.col("counts").alias("n_y")), "known_name", "left")
