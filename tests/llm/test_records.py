@@ -24,8 +24,28 @@ def test_survivor_order_and_absent_marks(spark):
 def test_consensus_votes_by_token(spark):
     rows = [(i, "c", "m", "p", v, None, None, "d", None, None, None, None, None, None, None) for i, v in enumerate(["1,250", "1,250", "1,350", "1250"])]
     row = survivor.consensus(_candidates(spark, rows)).where("field_name = 'value'").first()
-    assert (row.consensus, row.distance, row.support, row.rows) == ("1,250", 0, 2, 4)
-    assert survivor.align(["a", "c"], ["a", "b", "c"]) == [(1, "a"), (3, ""), (5, "c")]
+    assert (row.consensus, row.support, row.candidates) == ("1,250", 2, 4)
+
+
+def test_progressive_alignment_grows_columns():
+    profile = []
+    for row in (["a", "c"], ["a", "b", "c"], ["b", "c", "d"]):
+        survivor.extend_profile(profile, row, 1.0, "sum")
+    assert profile == [{"a": 2.0, "": 1.0}, {"b": 2.0, "": 1.0}, {"c": 3.0}, {"d": 1.0, "": 2.0}]
+    assert survivor.elect(["10 m", "12 m", "12 m EUR"], [1.0, 1.0, 1.0], "sum") == 1
+    assert survivor.elect(["10 m", "12 m", "12 m EUR"], [3.0, 2.0, 1.0], "rank") == 0
+
+
+def test_groups_larger_than_a_shard(spark):
+    """The tournament of shards gives the same survivor as the order itself."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "hot", "m", "p", str(int(rng.integers(1, 10**6))), ["kg", "t", None, "n/a"][int(rng.integers(4))], None, f"d{int(rng.integers(9))}", int(rng.integers(2000, 2005)), bool(rng.integers(2)), bool(rng.integers(2)), "x", int(rng.integers(4)), None, None) for i in range(1500)]
+    got = {r.field_name: r.candidate_id for r in survivor.field_sources(_candidates(spark, rows)).collect()}
+
+    def order(r):
+        return (r[9] and r[10], r[10], r[9], r[12], r[8], r[7], r[0])
+
+    assert got["value"] == max(rows, key=order)[0] and got["unit"] == max((r for r in rows if r[5] in ("kg", "t")), key=order)[0] and "currency" not in got
 
 
 def test_packing_respects_capacity():
