@@ -1,13 +1,17 @@
 """Noise of scanned pages found and repaired (problem 6).
 
-* Page numbers and running headers are whole lines; a line of a year in a list of years is none.
+* Page numbers and running headers are whole lines; a line of a year in a list of years is none. A line
+  is a running header if it has the form of one (a report's title with a name), or if it is the first
+  or last line of ``REPEATED`` or more pages of one document, digits aside, while what lies between
+  differs.
 * A word split at a line end is told from a compound by the corpus: the joined spelling must occur
   in more items than the hyphenated one; without either, the hyphen is taken as the compound's own.
 * Misread words: the words of all items form a frequency lexicon. Symmetric deletes (up to
   ``MAX_DELETES`` confusable characters taken out of both sides, after merging letter pairs such as
   ``rn``) index it and yield candidates; a weighted edit distance in which confusion pairs are cheap
   verifies them; the frequency ratio decides, and where it does not, bigram context does.
-* Misread ideographs: fixed pairs of similar characters, decided by their bigrams on both sides.
+* Misread ideographs: fixed pairs of similar characters, decided by their bigrams on both sides; other
+  pairs are not looked for.
 * Misread digits: a letter l, I or O inside an otherwise numeric token.
 
 Counts are over all items. Everything but the verification of candidate word pairs runs in the JVM;
@@ -30,14 +34,18 @@ from filingloom.session import materialise
 
 BROADCAST_ROWS = 100_000
 MAX_DELETES = 3
+#: Words longer than this are indexed by what they keep without confusable characters.
+LONG_WORD = 24
+#: Pages of a document on which a line must stand first or last to be its running header, and its longest form.
+REPEATED, LONGEST_HEADER = 3, 140
 #: How many times more items the right spelling must occur in: for spellings no word can have, for
 #: spellings that could be words, and for those only bigram context can settle.
 RATIO_IMPOSSIBLE, RATIO_WORD, RATIO_CONTEXT = 1.0, 20.0, 2.0
 
 #: What is printed and what is recognised instead.
 CONFUSIONS = (
-    ("e", "c"), ("i", "!"), ("l", "1"), ("l", "i"), ("l", "!"), ("l", "|"), ("i", "1"), ("i", "l"), ("i", "|"), ("o", "0"), ("h", "b"), ("s", "5"), ("g", "9"), ("b", "8"), ("z", "2"), ("t", "f"), ("a", "o"),
-    ("m", "rn"), ("d", "cl"), ("u", "ii"), ("w", "vv"), ("n", "ri"), ("h", "li"), ("rn", "m"), ("cl", "d"), ("vv", "w"),
+    ("e", "c"), ("i", "!"), ("l", "1"), ("l", "i"), ("l", "!"), ("l", "|"), ("i", "1"), ("i", "l"), ("i", "|"), ("o", "0"), ("h", "b"), ("s", "5"), ("g", "9"), ("b", "8"), ("z", "2"),
+    ("m", "rn"), ("d", "cl"), ("u", "ii"), ("w", "vv"), ("h", "li"), ("rn", "m"), ("cl", "d"), ("vv", "w"),
 )
 #: Similar ideographs, right and misread.
 IDEOGRAPHS = ("利刊", "元兀", "期朗", "现観", "入人", "减滅", "营菅", "未末", "本木", "已己", "日曰", "土士", "大太", "天夭", "贷货", "千干", "间问", "问间", "币市", "账帐", "人入", "末未", "己已", "太大", "货贷", "干千", "候侯", "徽微")
@@ -46,6 +54,9 @@ MERGED = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"))
 CONFUSABLE = "eci!l1|o0hbs5g9z28"
 
 _HAN = r"[㐀-䶿一-鿿]"
+#: Longest line that can be a page number, and words without which no line has the form of a header.
+LONGEST_PAGE = 40
+_HEADER_WORD = r"(?i:report|financial statements)|报告"
 _PAGE_LINE = (
     r"(?m)^[ \t]*(?:(?i:page|seite|p\.|pg\.)[ \t]*[\dlIO]{1,4}(?:[ \t]*(?i:of|/|von)[ \t]*[\dlIO]{1,4})?|[\dlIO]{1,4}[ \t]*/[ \t]*[\dlIO]{1,4}|[-–—~·•*][ \t]*[\dlIO]{1,4}[ \t]*[-–—~·•*]|\[[ \t]*[\dlIO]{1,4}[ \t]*\]|F-\d{1,3}"
     r"|第[ \t]*\d{1,4}[ \t]*页(?:[ \t]*[,，/]?[ \t]*共[ \t]*\d{1,4}[ \t]*页)?|(?!(?:19|20)\d\d[ \t]*$)\d{1,4}|(?=[ivxl]{1,7}[ \t]*$)x{0,3}(?:ix|iv|v?i{0,3}))[ \t]*$"
@@ -60,27 +71,79 @@ _HEADER_LINE = (
 #: A header line that carries the page number as well.
 _NUMBERED_HEADER = r"(?m)^[ \t]*\d{1,4}[ \t]{2,}\S|\S(?:[ \t]{2,}|[ \t]*\|[ \t]*)\d{1,4}[ \t]*$"
 _BREAK = r"([\p{IsLatin}][\p{IsLatin}\d'’!|\-]*?)([-¬])[ \t]*\n\s*([\p{IsLatin}\d!|][\p{IsLatin}\d'’!|\-]*)"
-_WORD = r"(?<![\p{L}\p{N}])[\p{IsLatin}\d!|][\p{IsLatin}\d'’!|\-]{1,38}[\p{IsLatin}\d!|](?![\p{L}\p{N}])"
+_WORD = r"(?<![\p{L}\p{N}])[\p{IsLatin}\d!|](?:[\p{IsLatin}\d'’!|\-]*[\p{IsLatin}\d!|])(?![\p{L}\p{N}])"
 _NUMBER = r"(?<![\p{L}\p{N}\-.,])(?=[\dlIO.,\-]*\d)(?=[\d.,\-]*[lIO])[\dlIO]+(?:[.,\-][\dlIO]+)*(?![\p{L}\p{N}])|(?<=[\d][\-.,])(?=[\dlIO.,\-]*\d)(?=[\d]*[lIO])[\dlIO]+(?![\p{L}\p{N}])"
 
 
 def page_items(segments: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Segment contents and page-block texts as ``(item_key, text)``."""
-    contents = segments.select(F.col("segment_id").alias("item_key"), F.col("content").alias("text"))
-    texts = blocks.select(F.col("block_id").alias("item_key"), "text")
+    """Segment contents and page-block texts as ``(item_key, doc_key, text)``."""
+    contents = segments.select(F.col("segment_id").alias("item_key"), F.col("doc_id").alias("doc_key"), F.col("content").alias("text"))
+    texts = blocks.select(F.col("block_id").alias("item_key"), F.col("root_key").alias("doc_key"), "text")
     return contents.unionByName(texts).where("item_key IS NOT NULL AND text IS NOT NULL")
 
 
+def _is_header(line: Column) -> Column:
+    return (F.length(line) <= LONGEST_HEADER + 2 * LONGEST_PAGE) & line.rlike(_HEADER_WORD) & line.rlike(_HEADER_LINE)
+
+
+def _is_page(line: Column) -> Column:
+    return (F.length(line) <= LONGEST_PAGE) & line.rlike(_PAGE_LINE)
+
+
+def _line_form(line: Column) -> Column:
+    """A line without its digits, signs at the edges and case: equal for one header on many pages."""
+    return F.lower(F.regexp_replace(F.regexp_replace(line, r"[\d\s|\-–—·•]+", " "), r"^\s+|\s+$", ""))
+
+
+def repeated_headers(items: DataFrame) -> DataFrame:
+    """(doc_key, form): lines that stand first or last on several pages of a document.
+
+    Pages alike throughout are copies and count once; a line that is the whole page counts as well.
+    Lines with a full stop or comma at the end are sentences.
+    """
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    ends = items.where("doc_key IS NOT NULL").select("doc_key", F.xxhash64(_line_form(F.col("text"))).alias("page"), F.explode(F.array_distinct(F.array(F.get(lines, F.lit(0)), F.get(lines, F.size(lines) - 1)))).alias("line"))
+    short = ends.where(F.col("line").isNotNull() & (F.length("line") <= LONGEST_HEADER) & ~F.col("line").rlike(r"[.。,，;；:：!?！？]\s*$"))
+    short = short.where(~F.col("line").rlike(_PAGE_LINE))
+    formed = short.select("doc_key", _line_form(F.col("line")).alias("form"), "page").where(F.length("form") >= 3)
+    return formed.groupBy("doc_key", "form").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= REPEATED).select("doc_key", "form")
+
+
+def _clean(text: Column) -> Column:
+    return F.regexp_replace(simple_fold(text), "\r\n?", "\n")
+
+
+def _lined(items: DataFrame) -> DataFrame:
+    """Items with their lines and the forms of the headers repeated in their document."""
+    rows = items.select("item_key", "doc_key", _clean(F.col("text")).alias("text"))
+    forms = repeated_headers(rows).groupBy("doc_key").agg(F.collect_set("form").alias("forms"))
+    return rows.join(forms, "doc_key", "left").select("item_key", F.split("text", "\n").alias("lines"), F.coalesce("forms", F.array().cast("array<string>")).alias("forms"))
+
+
+def _at_edge(i: Column, size: Column) -> Column:
+    return (i == 0) | (i == size - 1)
+
+
+def _kinds(lines: Column, forms: Column) -> Column:
+    """``h`` for a header, ``n`` for one with its page number, ``p`` for a page number, else empty; per line."""
+    size = F.size(lines)
+
+    def kind(line: Column, i: Column) -> Column:
+        repeated = (F.size(forms) > 0) & _at_edge(i, size) & (F.length(line) <= LONGEST_HEADER) & F.array_contains(forms, _line_form(line))
+        header = F.when(F.trim(line).rlike(_NUMBERED_HEADER), "n").otherwise("h")
+        return F.when(_is_header(line), header).when(_is_page(line), "p").when(repeated, header).otherwise("")
+
+    return F.transform(lines, kind)
+
+
 def _features(items: DataFrame) -> DataFrame:
     """Per item: its line noise and the distinct words, line breaks and character triples in it."""
-    folded = F.regexp_replace(foreign_fold(simple_fold(F.col("text"))), "\r\n?", "\n")
-    rows = items.select("item_key", folded.alias("folded"))
-    rows = rows.withColumn("has_header", F.col("folded").rlike(_HEADER_LINE))
-    header = F.regexp_extract("folded", _HEADER_LINE, 0)
-    rows = rows.withColumn("has_page", F.when(F.col("has_header"), F.trim(header).rlike(_NUMBERED_HEADER) | F.regexp_replace("folded", _HEADER_LINE, "").rlike(_PAGE_LINE)).otherwise(F.col("folded").rlike(_PAGE_LINE)))
-    body = F.when(F.col("has_header"), F.regexp_replace("folded", _HEADER_LINE, "")).otherwise(F.col("folded"))
-    body = F.when(F.col("has_page"), F.regexp_replace(body, _PAGE_LINE, "")).otherwise(body)
-    rows = rows.select("item_key", "has_header", "has_page", body.alias("body"))
+    rows = _lined(items).select("item_key", F.transform("lines", foreign_fold).alias("lines"), "forms")
+    rows = rows.select("item_key", "lines", _kinds(F.col("lines"), F.col("forms")).alias("kinds"))
+    noisy = F.exists("kinds", lambda k: k != "")
+    body = F.array_join(F.when(noisy, F.zip_with("lines", "kinds", lambda x, k: F.when(k == "", x).otherwise(""))).otherwise(F.col("lines")), "\n")
+    has = {"has_header": F.exists("kinds", lambda k: k.isin("h", "n")), "has_page": F.exists("kinds", lambda k: k.isin("p", "n"))}
+    rows = rows.select("item_key", *(c.alias(n) for n, c in has.items()), body.alias("body"))
     broken = F.col("body").rlike(r"[-¬][ \t]*\n")
     empty = F.array().cast("array<string>")
     breaks = F.when(broken, F.transform(F.regexp_extract_all("body", F.lit(_BREAK), F.lit(0)), lambda b: F.lower(F.regexp_replace(F.regexp_replace(b, r"[ \t]*\n\s*", "\n"), "¬\n", "¬")))).otherwise(empty)
@@ -105,8 +168,11 @@ def _deletes(word: Column) -> Column:
     levels = [F.array_distinct(F.array(word, merged))]
     for _ in range(MAX_DELETES):
         last = levels[-1]
-        levels.append(F.array_distinct(F.flatten(F.transform(last, lambda w: F.when(F.length(w) > 2, shorter(w)).otherwise(F.array().cast("array<string>"))))))
-    return F.array_distinct(F.concat(*levels))
+        levels.append(F.array_distinct(F.flatten(F.transform(last, lambda w: F.when((F.length(w) > 2) | (F.length(word) == 2) & (w == word), shorter(w)).otherwise(F.array().cast("array<string>"))))))
+    deletes = F.array_distinct(F.concat(*levels))
+    # a long word would have too many: what is left without any confusable character is enough for it
+    skeleton = F.array(F.concat(F.lit("\u0001"), F.translate(merged, CONFUSABLE, "")))
+    return F.when(F.length(word) > LONG_WORD, skeleton).when(F.length(word) > LONG_WORD - MAX_DELETES, F.concat(deletes, skeleton)).otherwise(deletes)
 
 
 _COST = 0.25
@@ -137,16 +203,17 @@ def confusion_distance(right: str, read: str) -> float:
 
 def _word_pairs(counts: DataFrame, joined: DataFrame) -> DataFrame:
     """(read, right, impossible, ratio, distance): candidates from the delete index, verified."""
-    plain = counts.where(F.col("word").rlike(r"^[\p{IsLatin}'’\-]{3,}$") & (F.col("n") >= 2)).select(F.col("word").alias("right"), F.col("n").alias("n_right"))
+    plain = counts.where(F.col("word").rlike(r"^[\p{IsLatin}'’\-]{2,}$") & (F.col("n") >= 2)).select(F.col("word").alias("right"), F.col("n").alias("n_right"))
     # a word of letters alone must be rare beside some other; one with digits or signs is suspect
     odd = r"[\d!|]"
     # a word split at a line end may be misread as well: it counts as read once
     unseen = joined.select(F.col("joined").alias("word")).distinct().join(counts, "word", "left_anti").withColumn("n", F.lit(1).cast("long"))
-    suspect = counts.unionByName(unseen).where(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 3)).where(F.col("word").rlike(odd) | F.col("word").rlike("c|b|rn|cl|ii|vv|m|d|l|i|f|o|w|ri|li")).select(F.col("word").alias("read"), F.col("n").alias("n_read"), F.col("word").rlike(odd).alias("impossible"))
+    suspect = counts.unionByName(unseen).where(F.col("word").rlike(r"\p{L}") & ((F.length("word") >= 3) | F.col("word").rlike(odd))).where(F.col("word").rlike(odd) | F.col("word").rlike("c|b|rn|cl|ii|vv|m|d|l|i|f|o|w|ri|li")).select(F.col("word").alias("read"), F.col("n").alias("n_read"), F.col("word").rlike(odd).alias("impossible"))
     index = plain.select("right", "n_right", F.explode(_deletes(F.col("right"))).alias("key"))
     probes = suspect.select("read", "n_read", "impossible", F.explode(_deletes(F.col("read"))).alias("key"))
     ratio = F.col("n_right") / F.col("n_read")
-    enough = F.when(F.col("impossible"), ratio >= RATIO_IMPOSSIBLE).otherwise(ratio >= RATIO_CONTEXT)
+    # of two characters ("1t") nothing is sure
+    enough = F.when(F.length("read") == 2, ratio >= RATIO_WORD).when(F.col("impossible"), ratio >= RATIO_IMPOSSIBLE).otherwise(ratio >= RATIO_CONTEXT)
     candidates = probes.join(index, "key").where((F.col("read") != F.col("right")) & enough & (F.abs(F.length("read") - F.length("right")) <= MAX_DELETES)).select("read", "right", "impossible", ratio.alias("ratio")).distinct()
 
     @F.pandas_udf("double")
@@ -158,10 +225,11 @@ def _word_pairs(counts: DataFrame, joined: DataFrame) -> DataFrame:
 
 def _context_votes(features: DataFrame, unsure: DataFrame) -> DataFrame:
     """Pairs whose right word has the better bigrams at the places where the other was read."""
-    spoken = unsure.select(F.explode(F.array("read", "right")).alias("word")).distinct()
+    spoken = materialise(unsure.select(F.explode(F.array("read", "right")).alias("word")).distinct())
+    small = spoken.count() <= BROADCAST_ROWS
     tokens = F.transform(F.regexp_extract_all("flowing", F.lit(f"{_WORD}|[\\p{{L}}\\p{{N}}]+"), F.lit(0)), lambda w: F.lower(w))
-    placed = features.select(tokens.alias("t")).select(F.posexplode("t").alias("i", "word"), "t")
-    placed = placed.join(F.broadcast(spoken), "word").select("word", F.when(F.col("i") > 0, F.get("t", F.col("i") - 1)).alias("prev"), F.get("t", F.col("i") + 1).alias("next"))
+    placed = features.select(tokens.alias("t")).select(F.explode(F.transform("t", lambda w, i: F.struct(w.alias("word"), F.when(i > 0, F.get("t", i - 1)).alias("prev"), F.get("t", i + 1).alias("next")))).alias("p")).select("p.*")
+    placed = placed.join(F.broadcast(spoken) if small else spoken, "word")
     sides = placed.select("word", F.explode(F.array(F.struct(F.lit("p").alias("side"), F.coalesce("prev", F.lit("")).alias("other")), F.struct(F.lit("n").alias("side"), F.coalesce("next", F.lit("")).alias("other")))).alias("s"))
     bigrams = sides.groupBy("word", "s.side", "s.other").agg(F.count(F.lit(1)).alias("n"))
     read = unsure.select("read", "right").join(bigrams.withColumnRenamed("word", "read"), "read").select("read", "right", "side", "other", F.col("n").alias("n_read"))
@@ -215,8 +283,9 @@ def noise_dictionary(features: DataFrame) -> DataFrame:
     counts = materialise(features.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     line_breaks = materialise(_line_breaks(features))
     pairs = materialise(_word_pairs(counts, line_breaks))
-    sure = pairs.where(F.col("impossible") | (F.col("ratio") >= RATIO_WORD)).select("read", "right", "distance", "ratio")
-    unsure = pairs.where(~F.col("impossible") & (F.col("ratio") < RATIO_WORD))
+    certain = (F.col("impossible") | (F.col("ratio") >= RATIO_WORD)) & (F.length("read") > 2)
+    sure = pairs.where(certain).select("read", "right", "distance", "ratio")
+    unsure = pairs.where(~certain)
     settled = unsure.join(_context_votes(features, unsure), ["read", "right"]).select("read", "right", "distance", "ratio")
     # a cheap repair to a common word; a tenfold ratio weighs as much as one confusion
     price = (F.col("distance") - _COST * F.log10("ratio")).alias("price")
@@ -250,10 +319,10 @@ def repaired(items: DataFrame) -> DataFrame:
     """``(item_key, text)`` as continuous paragraphs: lines of page furniture gone, words mended."""
     features = materialise(_features(items))
     edits = _hits(features).groupBy("item_key").agg(F.collect_set(F.struct("kind", "key", "repair")).alias("edits"))
-    folded = F.regexp_replace(simple_fold(F.col("text")), "\r\n?", "\n")
-    body = F.regexp_replace(F.regexp_replace(folded, _HEADER_LINE + r"\n?", ""), _PAGE_LINE + r"\n?", "")
+    lined = _lined(items).withColumn("kinds", _kinds(F.col("lines"), F.col("forms")))
+    body = F.array_join(F.filter(F.zip_with("lines", "kinds", lambda x, k: F.when(k == "", x)), lambda x: x.isNotNull()), "\n")
     body = F.regexp_replace(body, f"(?<={_HAN}|[，。、；：])[ \\t]*\\n(?={_HAN})", "")
-    rows = items.select("item_key", body.alias("body")).join(edits, "item_key", "left")
+    rows = lined.select("item_key", body.alias("body")).join(edits, "item_key", "left")
     known = F.coalesce("edits", F.array().cast("array<struct<kind:string,key:string,repair:string>>"))
 
     def mend(text: Column, e: Column) -> Column:

@@ -68,8 +68,8 @@ CLEAN = ["The committee approved the operating income of the year.", "Operating
 
 
 def _noise(spark, texts):
-    rows = [(f"c{i}", t) for i, t in enumerate(CLEAN)] + list(texts.items())
-    return spark.createDataFrame(rows, "item_key string, text string")
+    rows = [(f"c{i}", None, t) for i, t in enumerate(CLEAN)] + [(k, "d", t) for k, t in texts.items()]
+    return spark.createDataFrame(rows, "item_key string, doc_key string, text string")
 
 
 def test_noise_kinds(spark):
@@ -98,7 +98,7 @@ def test_confusion_distance():
 
 
 def test_noise_of_nothing(spark):
-    assert noise.found(spark.createDataFrame([], "item_key string, text string")).count() == 0
+    assert noise.found(spark.createDataFrame([], "item_key string, doc_key string, text string")).count() == 0
 
 
 @pytest.mark.parametrize("word,plain", [("pαyment", "payment"), ("ραyment", "payment"), ("ԁebt", "debt"), ("marɡin", "margin"), ("lⅰne", "line"), ("\U0001d400ssets", "Assets"), ("ｱ", "ア"), ("Ꭺssets", "Assets"), ("օwned", "owned"), ("кey", "key")])
@@ -112,3 +112,22 @@ def test_look_alikes_of_many_scripts(spark, word, plain):
 def test_ordinary_texts_stay(spark, text):
     tables = spark.createDataFrame([("t", text, None)], "id string, title string, headers array<string>")
     assert canonical.found(canonical.text_values(tables, spark.createDataFrame([], "segment_id string, content string"))).count() == 0
+
+
+def test_headers_by_repetition(spark):
+    """A line without the form of a report's title is a header where it heads several pages of a document."""
+    texts = {f"p{i}": f"{i} Penholm Works Gazette\nThe committee approved part {'abcd'[i]} of it.\nPage {i}" for i in range(4)} | {f"s{i}": f"The year was approved.\nPart {'abcd'[i]} followed" for i in range(4)}
+    got = {}
+    for r in noise.found(_noise(spark, texts)).collect():
+        got.setdefault(r.item_key, set()).add(r.noise_kind)
+    assert all("running_header" in got[f"p{i}"] and "page_number" in got[f"p{i}"] for i in range(4))
+    assert not any(f"s{i}" in got for i in range(4))  # sentences repeat, headers are no sentences
+    out = {r.item_key: r.text for r in noise.repaired(_noise(spark, texts)).collect()}
+    assert out["p2"] == "The committee approved part c of it."
+
+
+def test_words_of_any_length(spark):
+    long = "internationalisation" * 4
+    texts = {f"w{i}": f"The {long} of it was approved." for i in range(5)} | {"bad": f"The {long.replace('o', '0', 1)} of it was approved.", "short": "The committee 0f it was approved in the year."} | {f"o{i}": "The committee of it was approved in the year." for i in range(40)}
+    got = {r.item_key for r in noise.found(_noise(spark, texts)).collect() if r.noise_kind == "misread"}
+    assert got == {"bad", "short"}
