@@ -53,6 +53,8 @@ IDEOGRAPHS = ("利刊", "元兀", "期朗", "现観", "入人", "减滅", "营
 MERGED = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"))
 CONFUSABLE = "eci!l1|o0hbs5g9z28"
 
+#: Letters of Latin words; ranges are far cheaper to match than the script property.
+_LAT = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
 _HAN = r"[㐀-䶿一-鿿]"
 #: Longest line that can be a page number, and words without which no line has the form of a header.
 LONGEST_PAGE = 40
@@ -70,8 +72,10 @@ _HEADER_LINE = (
 )
 #: A header line that carries the page number as well.
 _NUMBERED_HEADER = r"(?m)^[ \t]*\d{1,4}[ \t]{2,}\S|\S(?:[ \t]{2,}|[ \t]*\|[ \t]*)\d{1,4}[ \t]*$"
-_BREAK = r"([\p{IsLatin}][\p{IsLatin}\d'’!|\-]*?)([-¬])[ \t]*\n\s*([\p{IsLatin}\d!|][\p{IsLatin}\d'’!|\-]*)"
-_WORD = r"(?<![\p{L}\p{N}])[\p{IsLatin}\d!|](?:[\p{IsLatin}\d'’!|\-]*[\p{IsLatin}\d!|])(?![\p{L}\p{N}])"
+_BREAK = r"([" + _LAT + r"][" + _LAT + r"\d'’!|\-]*?)([-¬])[ \t]*\n\s*([" + _LAT + r"\d!|][" + _LAT + r"\d'’!|\-]*)"
+_WORD = r"(?<![\p{L}\p{N}])[" + _LAT + r"\d!|](?:[" + _LAT + r"\d'’!|\-]*[" + _LAT + r"\d!|])(?![\p{L}\p{N}])"
+#: What every such number holds; cheap to look for.
+_NEAR_NUMBER = r"\d[.,\-]?[lIO]|[lIO][.,\-]?\d"
 _NUMBER = r"(?<![\p{L}\p{N}\-.,])(?=[\dlIO.,\-]*\d)(?=[\d.,\-]*[lIO])[\dlIO]+(?:[.,\-][\dlIO]+)*(?![\p{L}\p{N}])|(?<=[\d][\-.,])(?=[\dlIO.,\-]*\d)(?=[\d]*[lIO])[\dlIO]+(?![\p{L}\p{N}])"
 
 
@@ -102,7 +106,7 @@ def repeated_headers(items: DataFrame) -> DataFrame:
     Lines with a full stop or comma at the end are sentences.
     """
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    ends = items.where("doc_key IS NOT NULL").select("doc_key", F.xxhash64(_line_form(F.col("text"))).alias("page"), F.explode(F.array_distinct(F.array(F.get(lines, F.lit(0)), F.get(lines, F.size(lines) - 1)))).alias("line"))
+    ends = items.where("doc_key IS NOT NULL").select("doc_key", F.xxhash64(F.translate("text", "0123456789", "")).alias("page"), F.explode(F.array_distinct(F.array(F.get(lines, F.lit(0)), F.get(lines, F.size(lines) - 1)))).alias("line"))
     short = ends.where(F.col("line").isNotNull() & (F.length("line") <= LONGEST_HEADER) & ~F.col("line").rlike(r"[.。,，;；:：!?！？]\s*$"))
     short = short.where(~F.col("line").rlike(_PAGE_LINE))
     formed = short.select("doc_key", _line_form(F.col("line")).alias("form"), "page").where(F.length("form") >= 3)
@@ -116,8 +120,10 @@ def _clean(text: Column) -> Column:
 def _lined(items: DataFrame) -> DataFrame:
     """Items with their lines and the forms of the headers repeated in their document."""
     rows = items.select("item_key", "doc_key", _clean(F.col("text")).alias("text"))
-    forms = repeated_headers(rows).groupBy("doc_key").agg(F.collect_set("form").alias("forms"))
-    return rows.join(forms, "doc_key", "left").select("item_key", F.split("text", "\n").alias("lines"), F.coalesce("forms", F.array().cast("array<string>")).alias("forms"))
+    forms = materialise(repeated_headers(rows).groupBy("doc_key").agg(F.collect_set("form").alias("forms")))
+    # the texts are shuffled only if very many documents have such lines
+    small = forms.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(forms) if small else forms, "doc_key", "left").select("item_key", "text", F.coalesce("forms", F.array().cast("array<string>")).alias("forms"))
 
 
 def _at_edge(i: Column, size: Column) -> Column:
@@ -138,7 +144,8 @@ def _kinds(lines: Column, forms: Column) -> Column:
 
 def _features(items: DataFrame) -> DataFrame:
     """Per item: its line noise and the distinct words, line breaks and character triples in it."""
-    rows = _lined(items).select("item_key", F.transform("lines", foreign_fold).alias("lines"), "forms")
+    plain = F.octet_length("text") == F.length("text")
+    rows = _lined(items).select("item_key", F.split(F.when(plain, F.col("text")).otherwise(foreign_fold(F.col("text"))), "\n").alias("lines"), "forms")
     rows = rows.select("item_key", "lines", _kinds(F.col("lines"), F.col("forms")).alias("kinds"))
     noisy = F.exists("kinds", lambda k: k != "")
     body = F.array_join(F.when(noisy, F.zip_with("lines", "kinds", lambda x, k: F.when(k == "", x).otherwise(""))).otherwise(F.col("lines")), "\n")
@@ -148,11 +155,12 @@ def _features(items: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     breaks = F.when(broken, F.transform(F.regexp_extract_all("body", F.lit(_BREAK), F.lit(0)), lambda b: F.lower(F.regexp_replace(F.regexp_replace(b, r"[ \t]*\n\s*", "\n"), "¬\n", "¬")))).otherwise(empty)
     flowing = F.when(broken, F.regexp_replace("body", _BREAK, " ")).otherwise(F.col("body"))
-    words = F.transform(F.regexp_extract_all(flowing, F.lit(_WORD), F.lit(0)), lambda w: F.lower(w))
+    words = F.regexp_extract_all(F.lower(flowing), F.lit(_WORD), F.lit(0))
+    latin = F.octet_length("body") == F.length("body")
     joined = F.regexp_replace("body", r"(?<=[㐀-鿿，。、；：])\s*\n(?=[㐀-鿿])", "")
     chars = "".join(dict.fromkeys("".join(IDEOGRAPHS)))
-    around = F.when(F.col("body").rlike(f"[{chars}]"), F.regexp_extract_all(F.concat(F.lit("。"), F.regexp_replace(joined, r"\s", "。"), F.lit("。")), F.lit(f"(?s)(?=(.[{chars}].))"), F.lit(1))).otherwise(empty)
-    return rows.select("item_key", "has_header", "has_page", F.col("body").rlike(_NUMBER).alias("has_number"), F.array_distinct(words).alias("words"), F.array_distinct(breaks).alias("breaks"), F.array_distinct(around).alias("triples"), flowing.alias("flowing"))
+    around = F.when(~latin & F.col("body").rlike(f"[{chars}]"), F.regexp_extract_all(F.concat(F.lit("。"), F.regexp_replace(joined, r"\s", "。"), F.lit("。")), F.lit(f"(?s)(?=(.[{chars}].))"), F.lit(1))).otherwise(empty)
+    return rows.select("item_key", "has_header", "has_page", (F.col("body").rlike(_NEAR_NUMBER) & F.col("body").rlike(_NUMBER)).alias("has_number"), F.array_distinct(words).alias("words"), F.array_distinct(breaks).alias("breaks"), F.array_distinct(around).alias("triples"), flowing.alias("flowing"))
 
 
 def _deletes(word: Column) -> Column:
@@ -203,7 +211,7 @@ def confusion_distance(right: str, read: str) -> float:
 
 def _word_pairs(counts: DataFrame, joined: DataFrame) -> DataFrame:
     """(read, right, impossible, ratio, distance): candidates from the delete index, verified."""
-    plain = counts.where(F.col("word").rlike(r"^[\p{IsLatin}'’\-]{2,}$") & (F.col("n") >= 2)).select(F.col("word").alias("right"), F.col("n").alias("n_right"))
+    plain = counts.where(F.col("word").rlike(r"^[" + _LAT + r"'’\-]{2,}$") & (F.col("n") >= 2)).select(F.col("word").alias("right"), F.col("n").alias("n_right"))
     # a word of letters alone must be rare beside some other; one with digits or signs is suspect
     odd = r"[\d!|]"
     # a word split at a line end may be misread as well: it counts as read once
@@ -227,7 +235,7 @@ def _context_votes(features: DataFrame, unsure: DataFrame) -> DataFrame:
     """Pairs whose right word has the better bigrams at the places where the other was read."""
     spoken = materialise(unsure.select(F.explode(F.array("read", "right")).alias("word")).distinct())
     small = spoken.count() <= BROADCAST_ROWS
-    tokens = F.transform(F.regexp_extract_all("flowing", F.lit(f"{_WORD}|[\\p{{L}}\\p{{N}}]+"), F.lit(0)), lambda w: F.lower(w))
+    tokens = F.regexp_extract_all(F.lower("flowing"), F.lit(f"{_WORD}|[\\p{{L}}\\p{{N}}]+"), F.lit(0))
     placed = features.select(tokens.alias("t")).select(F.explode(F.transform("t", lambda w, i: F.struct(w.alias("word"), F.when(i > 0, F.get("t", i - 1)).alias("prev"), F.get("t", i + 1).alias("next")))).alias("p")).select("p.*")
     placed = placed.join(F.broadcast(spoken) if small else spoken, "word")
     sides = placed.select("word", F.explode(F.array(F.struct(F.lit("p").alias("side"), F.coalesce("prev", F.lit("")).alias("other")), F.struct(F.lit("n").alias("side"), F.coalesce("next", F.lit("")).alias("other")))).alias("s"))
@@ -319,7 +327,7 @@ def repaired(items: DataFrame) -> DataFrame:
     """``(item_key, text)`` as continuous paragraphs: lines of page furniture gone, words mended."""
     features = materialise(_features(items))
     edits = _hits(features).groupBy("item_key").agg(F.collect_set(F.struct("kind", "key", "repair")).alias("edits"))
-    lined = _lined(items).withColumn("kinds", _kinds(F.col("lines"), F.col("forms")))
+    lined = _lined(items).withColumn("lines", F.split("text", "\n")).withColumn("kinds", _kinds(F.col("lines"), F.col("forms")))
     body = F.array_join(F.filter(F.zip_with("lines", "kinds", lambda x, k: F.when(k == "", x)), lambda x: x.isNotNull()), "\n")
     body = F.regexp_replace(body, f"(?<={_HAN}|[，。、；：])[ \\t]*\\n(?={_HAN})", "")
     rows = lined.select("item_key", body.alias("body")).join(edits, "item_key", "left")
