@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,11 +15,13 @@ from pyspark.sql import functions as F
 def narrowest_range(items: DataFrame, ranges: DataFrame, doc: str = "doc_id") -> DataFrame:
     """For each ``(doc, item_id, page)`` the narrowest ``(doc, range_id, lo, hi)`` that holds the page.
 
+    Of equally narrow ranges the more confident one, where there is a column ``confidence``; then the smaller id.
+
     Ranges are spread over the pages they cover, so the range join becomes an equi-join on document
     and page; only the best range per page is kept before it meets the items.
     """
-    spans = ranges.where("lo IS NOT NULL AND hi >= lo").select(doc, "range_id", F.explode(F.sequence("lo", "hi")).alias("page"), (F.col("hi") - F.col("lo")).alias("span"))
-    best = spans.groupBy(doc, "page").agg(F.min(F.struct("span", "range_id")).alias("b"))
+    spans = ranges.where("lo IS NOT NULL AND hi >= lo").select(doc, "range_id", F.explode(F.sequence("lo", "hi")).alias("page"), (F.col("hi") - F.col("lo")).alias("span"), (-F.coalesce("confidence", F.lit(0.0)) if "confidence" in ranges.columns else F.lit(0.0)).alias("doubt"))
+    best = spans.groupBy(doc, "page").agg(F.min(F.struct("span", "doubt", "range_id")).alias("b"))
     return items.join(best, [doc, "page"], "left").select(doc, "item_id", "page", F.col("b.range_id").alias("range_id"))
 
 
@@ -51,12 +55,48 @@ def serving_gate(facts: DataFrame) -> DataFrame:
     return rows.where(F.col("allow") & ((F.col("listed") == 0) | F.col("in_list")))
 
 
-def bind_tables(facts: DataFrame, tables: DataFrame) -> DataFrame:
-    """How each fact's value is found in its table: a cell of its own, inside the text, or not."""
-    cells = tables.select(F.col("id").alias("source_table_id"), F.flatten("rows").alias("cells"), "raw_markdown")
-    joined = facts.where("source_table_id IS NOT NULL AND value IS NOT NULL").join(cells, "source_table_id")
-    tier = F.when(F.array_contains("cells", F.col("value")), "cell").when(F.col("raw_markdown").contains(F.col("value")), "text").otherwise("none")
-    return joined.select("observation_id", tier.alias("binding"))
+def gate_failures(facts: DataFrame, least_grounding: float = 0.95, most_implausible: float = 0.0) -> DataFrame:
+    """Per document the codes of what keeps it from being served, and whether nothing does.
+
+    Without a company or a year, with too small a share of grounded facts, or with implausible periods.
+    """
+    rows = facts.groupBy("document_id").agg(F.max(F.nullif("company", F.lit(""))).alias("company"), F.max("document_year").alias("year"), F.avg(F.col("is_grounded").cast("int")).alias("grounding"), F.avg((~F.col("plausible")).cast("int")).alias("implausible"))
+    failures = F.concat_ws(",", F.when(F.col("company").isNull(), "missing_company"), F.when(F.col("year").isNull(), "missing_year"), F.when(F.col("grounding") < least_grounding - 1e-9, "source_grounding_rate"), F.when(F.col("implausible") > most_implausible + 1e-9, "implausible_period_ratio"))
+    return rows.select("document_id", failures.alias("failures"), (failures == "").alias("allow"))
+
+
+def value_variants(value: Column) -> Column:
+    """Ways a value may be written in a table: grouped or not, whole numbers with two zeros as well.
+
+    A value that is no plain number is looked for as it stands.
+    """
+    number = F.when(F.trim(value).rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"), F.trim(value).try_cast("double"))
+    size = F.abs(number)
+    whole = size == F.floor(size)
+    plain, grouped = F.format_string("%.4f", size), F.format_string("%,.4f", size)
+
+    def cut(text: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+    round_ = F.array(F.format_string("%.0f", size), F.format_string("%,.0f", size), F.format_string("%,.2f", size), F.format_string("%.2f", size))
+    text = F.when(F.trim(value) != "", F.array(F.trim(value))).otherwise(F.array().cast("array<string>"))
+    return F.when(number.isNull(), text).when(whole, round_).otherwise(F.array(cut(plain), cut(grouped)))
+
+
+def bind_tables(facts: DataFrame, tables: DataFrame, aligned: DataFrame) -> DataFrame:
+    """How each fact's value is found in its table: as the table's metric of its period, in its text, or not.
+
+    ``aligned (id, metric_key, period, value)`` are the numbers of the tables by metric and period.
+    """
+    parts = F.concat(F.array(F.coalesce("raw_markdown", F.lit("")), F.array_join(F.coalesce("headers", F.array().cast("array<string>")), " ")), F.transform(F.coalesce("rows", F.array().cast("array<array<string>>")), lambda r: F.array_join(r, " ")))
+    text = F.array_join(parts, "\n")
+    texts = tables.select(F.col("id").alias("source_table_id"), text.alias("text"), F.regexp_replace(text, r"[,\s]", "").alias("dense"))
+    numbers = aligned.select(F.col("id").alias("source_table_id"), "metric_key", "period", F.col("value").alias("number"))
+    joined = facts.where("source_table_id IS NOT NULL AND value IS NOT NULL").select("observation_id", "source_table_id", "metric_key", "period", "value").join(texts, "source_table_id").join(numbers, ["source_table_id", "metric_key", "period"], "left")
+    equal = F.abs(F.trim("value").try_cast("double") - F.col("number")) < 1e-9
+    written = F.exists(value_variants(F.col("value")), lambda v: F.contains(F.col("text"), v) | F.contains(F.col("dense"), v))
+    judged = joined.select("observation_id", equal.alias("equal"), written.alias("written"))
+    return judged.select("observation_id", F.when(F.coalesce("equal", F.lit(False)), "metric").when(F.col("written"), "text").otherwise("none").alias("binding"), "written")
 
 
 def repeated_margins(pages: DataFrame, most: int = 80) -> DataFrame:
@@ -91,26 +131,34 @@ def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.round(F.try_divide(F.levenshtein(a, b), F.length(a)), 6)
 
 
+def embedding_features(text: str) -> list[tuple[str, float]]:
+    """Words and character trigrams of a text with their weights."""
+    words = [w for w in re.split(r"\W+", text.lower().strip()) if w]
+    joined = " ".join(words)
+    return [(f"tok:{w}", 1.25) for w in words] + [(f"tri:{joined[i : i + 3]}", 0.5) for i in range(len(joined) - 2)]
+
+
+@lru_cache(maxsize=200_000)
+def _bucket(feature: str, dimension: int) -> tuple[int, float]:
+    """Bucket (first four bytes of the digest) and sign (parity of the fifth) of a feature."""
+    digest = hashlib.blake2b(feature.encode(), digest_size=8).digest()
+    return int.from_bytes(digest[:4], "big") % dimension, -1.0 if digest[4] & 1 else 1.0
+
+
 def hash_embedding(text: Column, dimension: int = 256) -> Column:
     """Signed feature hash of words (1.25) and character trigrams (0.5), normalised; e0 for no text."""
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        out = []
-        for value in texts:
-            vector = np.zeros(dimension)
-            folded = " ".join((value or "").casefold().split())
-            features = [(w, 1.25) for w in folded.split()] + [(folded[i : i + 3], 0.5) for i in range(len(folded) - 2)]
-            for feature, weight in features:
-                digest = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
-                vector[digest % dimension] += weight if digest >> 63 else -weight
-            norm = float(np.linalg.norm(vector))
-            if norm:
-                vector /= norm
-            else:
-                vector[0] = 1.0
-            out.append(vector.astype("float32"))
-        return pd.Series(out)
+        out = np.zeros((len(texts), dimension))
+        for row, value in zip(out, texts):
+            for feature, weight in embedding_features(value or ""):
+                place, sign = _bucket(feature, dimension)
+                row[place] += sign * weight
+        norms = np.linalg.norm(out, axis=1)
+        out[norms == 0, 0] = 1.0
+        norms[norms == 0] = 1.0
+        return pd.Series(list((out / norms[:, None]).astype("float32")))
 
     return embed(text)
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filingloom.session import materialise
+
 NUMERIC = r"^-?\d+(\.\d+)?$"
 
 
@@ -75,17 +77,19 @@ def resolve_conflicts(obs: DataFrame, keys: Sequence[str] = ("company_id", "metr
     """
     keys = list(keys)
     grouped = obs.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("candidates"), F.size(F.collect_set("canonical")).alias("values"), F.sum(F.col("is_grounded").cast("int")).alias("grounded"),
+        F.count(F.lit(1)).alias("candidates"), (F.min("canonical") < F.max("canonical")).alias("differ"), F.sum(F.col("is_grounded").cast("int")).alias("grounded"),
         F.max(F.struct(*_trust(prefer_document), *_key_desc("observation_id"), F.col("value").alias("value"), F.col("observation_id").alias("observation_id"))).alias("w"),
     )
-    branch = F.when(F.col("values") <= 1, "single").when(F.col("grounded") == 1, "one_grounded").when(F.col("grounded") > 1, "grounded").otherwise("ungrounded")
-    return grouped.select(*keys, "candidates", (F.col("values") > 1).alias("conflict"), branch.alias("branch"), F.col("w.observation_id").alias("winner_id"), F.col("w.document_id").alias("winner_document"), F.col("w.value").alias("value"))
+    branch = F.when(~F.coalesce("differ", F.lit(False)), "single").when(F.col("grounded") == 1, "one_grounded").when(F.col("grounded") > 1, "grounded").otherwise("ungrounded")
+    return grouped.select(*keys, "candidates", F.coalesce("differ", F.lit(False)).alias("conflict"), branch.alias("branch"), F.col("w.observation_id").alias("winner_id"), F.col("w.document_id").alias("winner_document"), F.col("w.value").alias("value"))
 
 
 def _key_desc(key: str) -> list[Column]:
-    """Numbers of a key in an order such that a smaller key ranks higher."""
-    digits = F.regexp_replace(F.col(key), r"\D", "").try_cast("decimal(38,0)")
-    return [(-digits).alias("n")]
+    """A text that sorts the other way round, so that under ``max`` the smaller key ranks higher.
+
+    The digits of the bytes are mirrored; the end mark ranks a key above what it begins.
+    """
+    return [F.concat(F.translate(F.hex(F.col(key)), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G")).alias("n")]
 
 
 def fuse(obs: DataFrame) -> DataFrame:
@@ -193,15 +197,50 @@ def risk_heatmap(entities: DataFrame) -> DataFrame:
     return counts.withColumn("total", sum((F.col(c) for c in [*RISK_TERMS, "other"]), F.lit(0)))
 
 
-def overlap(sets: DataFrame, key: str, items: str) -> DataFrame:
-    """Jaccard of the item sets of every unordered pair that shares an item.
+def overlap(sets: DataFrame, key: str, items: str, most: int = 20) -> DataFrame:
+    """Jaccard of the item sets of every unordered pair, sharing an item, of the ``most`` largest keys.
 
+    A portfolio is compared, not everyone with everyone: the keys with most rows (ties: the smaller).
     Pairs come from an inverted index on items, so pairs with nothing in common are never built.
     """
-    distinct = sets.select(key, items).where(f"{key} IS NOT NULL AND {items} IS NOT NULL").distinct()
+    rows = sets.select(key, items).where(f"{key} IS NOT NULL AND {items} IS NOT NULL")
+    chosen = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("rows").desc(), key).limit(most).select(key)
+    distinct = rows.join(F.broadcast(chosen), key).distinct()  # at most `most` rows
     sizes = distinct.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     a = distinct.select(F.col(key).alias("a"), items)
     b = distinct.select(F.col(key).alias("b"), items)
     shared = a.join(b, items).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     sized = shared.join(sizes.select(F.col(key).alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col(key).alias("b"), F.col("n").alias("n_b")), "b")
     return sized.select("a", "b", "shared", F.round(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), 4).alias("score"))
+
+
+def nearest_rank(rows: DataFrame, key: str, value: str, share: float, cells: int = 4096) -> DataFrame:
+    """Per key the number of values and the one of nearest rank ``round(share * (n - 1))``, exactly.
+
+    Values are counted in cells between the least and the greatest; only the cell that holds the rank
+    is sorted, so no task gets a whole key.
+    """
+    present = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v"))
+    spans = present.groupBy(key).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+    width = (F.col("high") - F.col("low")) / cells
+    placed = present.join(spans, key).withColumn("cell", F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(cells - 1))).otherwise(F.lit(0)).cast("int"))
+    counts = placed.groupBy(key, "n", "cell").agg(F.count(F.lit(1)).alias("held"))
+    before = F.sum("held").over(Window.partitionBy(key).orderBy("cell")) - F.col("held")  # at most `cells` rows a key
+    rank = F.bround(share * (F.col("n") - 1), 0).cast("long")
+    holding = counts.withColumn("before", before).where((F.col("before") <= rank) & (rank < F.col("before") + F.col("held"))).select(key, "cell", "n", (rank - F.col("before")).alias("place"))
+    inside = placed.select(key, "cell", "v").join(holding, [key, "cell"])
+    ordered = inside.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("v")) - 1)
+    return ordered.where("i = place").select(key, "n", F.col("v").alias("ranked"))
+
+
+def global_place(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with their ``place`` in the order of the columns, which must be unique together.
+
+    The rows are cut into ranges, each ranked by itself behind the sizes of the ranges before it, so
+    no task sorts the whole table.
+    """
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("held"))
+    before = sizes.select("_part", (F.sum("held").over(Window.orderBy("_part")) - F.col("held")).alias("before"))  # one row a range
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(before), "_part").withColumn("place", within + F.col("before")).drop("_part", "before")

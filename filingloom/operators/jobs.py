@@ -11,18 +11,30 @@ from pyspark.sql import functions as F
 STATUSES = ("queued", "running", "retry_wait", "succeeded", "failed", "cancelled")
 
 
-def queue_metrics(jobs: DataFrame, now: Column, failure_window: str = "1 hour") -> DataFrame:
-    """Counts by status, active workers, expired leases, recent failures and the oldest ready job."""
+#: Thresholds from which on the queue is reported.
+OLDEST_READY_SECONDS, RETRY_BACKLOG, RECENT_FAILURES, FAILURE_SECONDS = 300.0, 5, 1, 3600
+
+
+def queue_metrics(jobs: DataFrame, now: Column) -> DataFrame:
+    """Counts by status, active workers, expired leases, recent failures, age of the oldest ready job.
+
+    ``alerts`` are the codes of what is out of bounds; an expired lease or a failure makes it critical.
+    """
     running = F.col("status") == "running"
     expired = running & (F.col("lease_expires_at") <= now)
     ready = F.when(F.col("status") == "queued", F.col("created_at")).when((F.col("status") == "retry_wait") & (F.col("available_at").isNull() | (F.col("available_at") <= now)), F.coalesce("available_at", "updated_at"))
     counts = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
     row = jobs.agg(
-        *counts, F.countDistinct(F.when(running & ~F.coalesce(expired, F.lit(False)), F.col("worker_id"))).alias("active_workers"), F.count_if(expired).alias("expired_leases"),
-        F.count_if((F.col("status") == "failed") & (F.col("updated_at") >= now - F.expr(f"INTERVAL {failure_window}"))).alias("recent_failures"), F.count_if(F.col("cancel_requested_at").isNotNull()).alias("cancel_requests"), F.min(ready).alias("oldest_ready"),
+        *counts, F.countDistinct(F.when(running & ~F.coalesce(expired, F.lit(False)), F.nullif(F.col("worker_id"), F.lit("")))).alias("active_workers"), F.count_if(expired).alias("expired_leases"),
+        F.count_if((F.col("status") == "failed") & (F.col("updated_at") >= now - F.expr(f"INTERVAL {FAILURE_SECONDS} SECONDS"))).alias("recent_failures"), F.count_if(F.col("cancel_requested_at").isNotNull()).alias("cancel_requests"), F.min(ready).alias("oldest_ready"),
     )
-    alert = F.when((F.col("expired_leases") > 0) | (F.col("recent_failures") >= 3), "critical").when(F.col("retry_wait") >= 5, "warning").otherwise("ok")
-    return row.withColumn("health", alert)
+    age = F.greatest((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("oldest_ready").cast("timestamp"))) / 1e6, F.lit(0.0))
+    row = row.withColumn("oldest_ready_seconds", F.when(F.col("oldest_ready").isNotNull(), F.round(age, 3)))
+    critical = F.array(F.when(F.col("expired_leases") > 0, "expired_worker_lease"), F.when(F.col("recent_failures") >= RECENT_FAILURES, "recent_ingestion_failures"))
+    warnings = F.array(F.when(F.col("oldest_ready_seconds") >= OLDEST_READY_SECONDS, "oldest_ready_age_high"), F.when(F.col("retry_wait") >= RETRY_BACKLOG, "retry_wait_backlog"))
+    row = row.withColumn("alerts", F.array_join(F.concat(critical, warnings), ","))
+    health = F.when(F.exists(critical, lambda c: c.isNotNull()), "critical").when(F.col("alerts") != "", "warning").otherwise("ok")
+    return row.withColumn("health", health)
 
 
 LEASE_SECONDS, MAX_ATTEMPTS = 60, 3

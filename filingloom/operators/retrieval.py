@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,17 +62,56 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """For each query the ``k`` nearest other vectors; the stated query set meets all rows in blocks."""
-    probes = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
-    blocks = F.broadcast(probes) if probes.count() <= BROADCAST_QUERIES else probes
-    scored = vectors.select("vec_id", "embedding").join(blocks, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("probe"), F.col("embedding")), 6).alias("score"))
-    # a filter on the rank lets the engine keep the best k per task before the shuffle
+    """For each query the ``k`` nearest other vectors, by the rounded cosine (ties: the smaller id).
+
+    The query set meets all vectors in blocks of ``QUERY_BLOCK`` queries, whatever its size: each batch of
+    vectors is multiplied with a block at once and only its best ``k`` per query leave the task. Null
+    vectors and vectors without length take no part.
+    """
+    probes = queries.where("embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), "embedding")
+    total = probes.count()
+    blocks = max(1, -(-total // QUERY_BLOCK))
+    found = None
+    for block in range(blocks):
+        rows = probes.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").toPandas()  # about QUERY_BLOCK rows
+        hits = _block_search(vectors, rows, k)
+        found = hits if found is None else found.unionByName(hits)
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+
+
+#: Queries that meet the vectors at once.
+QUERY_BLOCK = 4_096
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    lengths = np.linalg.norm(vectors, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return vectors / lengths[:, None]
 
 
-#: Rows of a query set up to which it is broadcast to the vectors.
-BROADCAST_QUERIES = 10_000
+def _block_search(vectors: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best ``k`` of every batch of vectors for each query of a block."""
+    ids = queries["query_id"].to_numpy()
+    probe = _unit(np.array(queries["embedding"].tolist(), dtype="float64").reshape(len(ids), -1)) if len(ids) else np.zeros((0, 1))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch) or not len(ids):
+                continue
+            keys = batch["vec_id"].to_numpy()
+            order = np.argsort(keys, kind="stable")
+            keys, matrix = keys[order], _unit(np.array(batch["embedding"].tolist(), dtype="float64"))[order]
+            out = []
+            for start in range(0, len(ids), 256):
+                scores = np.round(probe[start : start + 256] @ matrix.T, 6)
+                scores[ids[start : start + 256, None] == keys[None, :]] = np.nan
+                best = np.argsort(np.where(np.isnan(scores), np.inf, -scores), axis=1, kind="stable")[:, :k]
+                values = np.take_along_axis(scores, best, axis=1)
+                out.append(pd.DataFrame({"query_id": np.repeat(ids[start : start + 256], best.shape[1]), "vec_id": keys[best].ravel(), "score": values.ravel()}).dropna())
+            yield pd.concat(out)
+
+    return vectors.where("embedding IS NOT NULL").select("vec_id", "embedding").mapInPandas(search, "query_id bigint, vec_id bigint, score double")
 
 
 def merge_hits(vector: DataFrame, lexical: DataFrame) -> DataFrame:
@@ -78,11 +121,16 @@ def merge_hits(vector: DataFrame, lexical: DataFrame) -> DataFrame:
     return merged.withColumn("score", F.round(VECTOR_WEIGHT * F.col("vector_score") + LEXICAL_WEIGHT * F.col("lexical_score"), 6))
 
 
+#: Words that point to another place, words of places, dotted leaders, numbered chapters.
+POINTERS, PLACES = "参见|详见|请见|见本报告|本报告", "第|章节|部分|中|之"
+LEADERS, CHAPTER = r"\.{3,}|…{2,}", r"^\d{1,3}第[一二三四五六七八九十百千零〇\d]+[章节]"
+
+
 def is_reference_only(content: Column) -> Column:
     """Short pointers to another place that carry no figure."""
     compact = F.regexp_replace(content, r"\s+", "")
-    points = compact.rlike("参见|详见|请见|见本报告|本报告")
-    place = compact.rlike("第|章节|部分|中|之")
+    points = compact.rlike(POINTERS)
+    place = compact.rlike(PLACES)
     return (F.length(compact) <= 80) & points & place & ~compact.rlike(r"\d+(?:\.\d+)?%")
 
 
@@ -91,14 +139,14 @@ def is_served(content: Column) -> Column:
     text = F.trim(F.coalesce(content, F.lit("")))
     compact = F.regexp_replace(text, r"\s+", "")
     short = F.length(compact) < 40
-    return (F.length(compact) >= 12) & ~(text.rlike(r"\.{3,}|…{2,}") & short) & ~(compact.rlike(r"^\d{1,3}第[一二三四五六七八九十百千零〇\d]+[章节]") & short)
+    return (F.length(compact) >= 12) & ~(text.rlike(LEADERS) & short) & ~(compact.rlike(CHAPTER) & short)
 
 
 def is_noise(content: Column) -> Column:
     """Blocks without substance."""
     compact = F.regexp_replace(F.coalesce(content, F.lit("")), r"\s+", "")
     short = F.length(compact) < 40
-    return (F.length(compact) < 8) | compact.rlike(r"^\d{1,4}$") | (content.rlike(r"\.{3,}|…{2,}") & short) | (compact.rlike(r"^\d{1,3}第[一二三四五六七八九十百千零〇\d]+[章节]") & short)
+    return (F.length(compact) < 8) | compact.rlike(r"^\d{1,4}$") | (content.rlike(LEADERS) & short) | (compact.rlike(CHAPTER) & short)
 
 
 def fingerprint(content: Column) -> Column:
@@ -119,11 +167,11 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(size)))
 
 
-def keep_first(rows: DataFrame, key: str, content: str, order: list[str]) -> DataFrame:
-    """First copy of each normalised text within a document."""
-    norm = F.lower(F.regexp_replace(F.col(content), r"\s+", ""))
-    place = Window.partitionBy(key, F.md5(norm)).orderBy(*order)
-    return rows.where(F.col(content).isNotNull()).withColumn("copy", F.row_number().over(place)).where("copy = 1").drop("copy")
+def keep_first(rows: DataFrame, key: str, content: str, order: list[str], carried: list[str]) -> DataFrame:
+    """First copy of each normalised text within a document: a ``min`` combined before the shuffle."""
+    norm = F.md5(F.lower(F.regexp_replace(F.col(content), r"\s+", "")))
+    first = F.min(F.struct(*order, *(c for c in carried if c not in order and c != key))).alias("first")
+    return rows.where(F.col(content).isNotNull()).groupBy(key, norm.alias("norm")).agg(first).select(*(c if c == key else f"first.{c}" for c in carried))
 
 
 def ranking_quality(ranked: DataFrame, k: int) -> DataFrame:

@@ -20,8 +20,8 @@ METRIC_ALIASES = {
     },
     "balance_sheet": {
         "cash_and_cash_equivalents": ("cash and cash equivalents", "cash and due from banks", "货币资金"), "investment_securities": ("investment securities", "securities available-for-sale", "available-for-sale securities", "交易性金融资产"), "loans": ("loans", "total loans", "发放贷款和垫款"), "goodwill": ("goodwill", "商誉"), "intangible_assets": ("intangible assets", "无形资产"),
-        "total_assets": ("total assets", "资产总计", "资产合计"), "debt": ("long-term debt", "total debt", "borrowings", "长期借款", "短期借款"), "total_liabilities": ("total liabilities", "负债合计", "负债总计"), "total_deposits": ("total deposits", "吸收存款"), "retained_earnings": ("retained earnings", "未分配利润"),
-        "total_equity": ("total equity", "total shareholders' equity", "所有者权益合计", "股东权益合计"), "accounts_receivable": ("accounts receivable", "应收账款"), "inventory": ("inventory", "inventories", "存货"), "current_assets": ("current assets", "流动资产合计"), "current_liabilities": ("current liabilities", "流动负债合计"),
+        "total_assets": ("total assets", "资产总计", "资产合计"), "debt": ("long-term debt", "total debt", "borrowings", "长期借款", "短期借款"), "total_liabilities": ("total liabilities", "负债合计", "负债总计"), "total_deposits": ("total deposits", "吸收存款"), "retained_earnings": ("retained earnings", "未分配利润"), "accumulated_other_comprehensive_income": ("accumulated other comprehensive income", "accumulated other comprehensive loss", "其他综合收益"),
+        "total_equity": ("total equity", "total shareholders' equity", "total stockholders' equity", "total stockholders’ equity", "所有者权益合计", "股东权益合计"), "total_stockholders_equity": ("total stockholders' equity", "total stockholders’ equity", "归属于母公司所有者权益合计"), "accounts_receivable": ("accounts receivable", "应收账款"), "inventory": ("inventory", "inventories", "存货"), "current_assets": ("current assets", "流动资产合计"), "current_liabilities": ("current liabilities", "流动负债合计"),
     },
     "cash_flow": {
         "net_income": ("net income", "净利润"), "depreciation_and_amortization": ("depreciation and amortization", "depreciation", "折旧和摊销"),
@@ -29,6 +29,11 @@ METRIC_ALIASES = {
         "net_cash_from_investing_activities": ("net cash used in investing activities", "net cash from investing activities", "net cash used in investing", "投资活动产生的现金流量净额"),
         "net_cash_from_financing_activities": ("net cash used in financing activities", "net cash from financing activities", "net cash provided by financing activities", "net cash provided by financing", "筹资活动产生的现金流量净额"),
         "capital_expenditures": ("capital expenditures", "purchases of property and equipment", "additions to premises and equipment", "购建固定资产"), "free_cash_flow": ("free cash flow",),
+        "cash_and_cash_equivalents_at_end_of_period": ("cash and cash equivalents at end of period", "cash and cash equivalents at the end of the period", "期末现金及现金等价物余额"), "cash_and_due_from_banks_at_end_of_period": ("cash and due from banks at the end of the period", "cash at end of period"),
+    },
+    "equity": {
+        "additional_paid_in_capital": ("additional paid-in capital", "additional paid in capital", "资本公积"), "total_stockholders_equity": ("total stockholders' equity", "total stockholders’ equity", "归属于母公司所有者权益合计"), "total_equity": ("total equity", "total shareholders' equity", "所有者权益合计"),
+        "common_stock": ("common stock", "股本"), "treasury_stock": ("treasury stock", "库存股"), "retained_earnings": ("retained earnings", "未分配利润"), "accumulated_other_comprehensive_income": ("accumulated other comprehensive income", "accumulated other comprehensive loss", "其他综合收益"),
     },
 }
 #: Unit labels and the marks that name them, in order of precedence.

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filingloom.operators import documents, nested, retrieval, tables
-from filingloom.plans.reference_queries import _OBS, _obs, _query
+from filingloom.operators import documents, facts, nested, retrieval, search, structure, tables
+from filingloom.plans.reference_queries import _OBS, _TRUST, _obs, _query
 from filingloom.streaming import windows
 from filingloom.tables import load
 
@@ -52,16 +52,32 @@ def _(spark, sf_dir):
     return documents.preceding_context(_segments(spark, sf_dir))
 
 
-@_query("j12_table_binding", "SELECT m.observation_id, CASE WHEN list_contains(flatten(t.rows), m.value) THEN 'cell' WHEN contains(t.raw_markdown, m.value) THEN 'text' ELSE 'none' END AS binding FROM metric_observations m JOIN parsed_tables t ON m.source_table_id = t.id WHERE m.value IS NOT NULL")
+_WRITTEN = r"""
+t AS (SELECT id, coalesce(raw_markdown, '') || chr(10) || array_to_string(coalesce(headers, []), ' ') || CASE WHEN len(rows) > 0 THEN chr(10) || array_to_string(list_transform(rows, lambda r: array_to_string(r, ' ')), chr(10)) ELSE '' END AS text FROM parsed_tables),
+m AS (SELECT observation_id, document_id, source_table_id, value, CASE WHEN regexp_full_match(trim(value), '[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?') THEN TRY_CAST(trim(value) AS DOUBLE) END AS num FROM metric_observations WHERE value IS NOT NULL),
+w AS (SELECT observation_id, document_id, len(list_filter(CASE WHEN num IS NULL THEN (CASE WHEN trim(value) <> '' THEN [trim(value)] ELSE [] END) WHEN floor(abs(num)) = abs(num) THEN [format('{:.0f}', abs(num)), format('{:,.0f}', abs(num)), format('{:,.2f}', abs(num)), format('{:.2f}', abs(num))] ELSE [regexp_replace(regexp_replace(format('{:.4f}', abs(num)), '(\.[0-9]*?)0+$', '\1'), '\.$', ''), regexp_replace(regexp_replace(format('{:,.4f}', abs(num)), '(\.[0-9]*?)0+$', '\1'), '\.$', '')] END, lambda v: contains(text, v) OR contains(regexp_replace(text, '[,\s]', '', 'g'), v))) > 0 AS found FROM m JOIN t ON source_table_id = t.id)
+"""
+
+
+def _bound(spark, sf_dir):
+    sources = load(spark, sf_dir, "parsed_tables")
+    return documents.bind_tables(load(spark, sf_dir, "metric_observations"), sources, tables.period_values(sources))
+
+
+@_query("j12_table_binding", f"WITH {_WRITTEN} SELECT observation_id, found FROM w")
+def _(spark, sf_dir):
+    return _bound(spark, sf_dir).select("observation_id", F.col("written").alias("found"))
+
+
+@_query("j12_binding_tiers")
 def _(spark, sf_dir):
-    return documents.bind_tables(load(spark, sf_dir, "metric_observations"), load(spark, sf_dir, "parsed_tables"))
+    return _bound(spark, sf_dir).drop("written")
 
 
-@_query("a21_grounding_rates", "WITH b AS (SELECT m.document_id, CASE WHEN list_contains(flatten(t.rows), m.value) OR contains(t.raw_markdown, m.value) THEN 1 ELSE 0 END AS found FROM metric_observations m JOIN parsed_tables t ON m.source_table_id = t.id WHERE m.value IS NOT NULL) SELECT document_id, count(*) AS facts, round(avg(found), 4) AS table_grounding FROM b GROUP BY 1")
+@_query("a21_grounding_rates", f"WITH {_WRITTEN} SELECT document_id, count(*) AS facts, round(avg(found::INTEGER), 4) AS table_grounding FROM w GROUP BY 1")
 def _(spark, sf_dir):
-    obs = load(spark, sf_dir, "metric_observations")
-    bound = documents.bind_tables(obs, load(spark, sf_dir, "parsed_tables")).join(obs.select("observation_id", "document_id"), "observation_id")
-    return bound.groupBy("document_id").agg(F.count(F.lit(1)).alias("facts"), F.round(F.avg((F.col("binding") != "none").cast("int")), 4).alias("table_grounding"))
+    bound = _bound(spark, sf_dir).join(load(spark, sf_dir, "metric_observations").select("observation_id", "document_id"), "observation_id")
+    return bound.groupBy("document_id").agg(F.count(F.lit(1)).alias("facts"), F.round(F.avg(F.col("written").cast("int")), 4).alias("table_grounding"))
 
 
 @_query("a14_metrics_index", "SELECT document_id, metric_key, period, arg_max(coalesce(value, ''), observation_id) AS value FROM metric_observations GROUP BY 1, 2, 3")
@@ -86,41 +102,43 @@ def _(spark, sf_dir):
     return _segments(spark, sf_dir).groupBy("document_type").agg(F.count(F.lit(1)).alias("segments"), tiny.alias("tiny"), F.round(tiny / F.count(F.lit(1)), 4).alias("tiny_ratio"), F.max(F.length("content")).alias("longest"), F.countDistinct("doc_id").alias("documents"))
 
 
-@_query("a20_scorecard_diff", "WITH h AS (SELECT event_type, ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) AS late FROM events), c AS (SELECT event_type, count(*) FILTER (WHERE NOT late) AS baseline, count(*) FILTER (WHERE late) AS current FROM h GROUP BY 1) SELECT *, current - baseline AS delta, CASE WHEN current > baseline THEN 'better' WHEN current < baseline THEN 'worse' ELSE 'same' END AS verdict FROM c")
+@_query("a20_scorecard_diff", f"WITH {_OBS}, s AS (SELECT metric_key, document_year >= 2015 AS late, count(*) AS n, avg(is_grounded::INTEGER) AS grounded, avg(has_provenance::INTEGER) AS provenance FROM obs WHERE document_year IS NOT NULL AND metric_key IS NOT NULL GROUP BY ALL), p AS (SELECT metric_key, max(CASE WHEN NOT late THEN grounded END) AS g0, max(CASE WHEN late THEN grounded END) AS g1, max(CASE WHEN NOT late THEN provenance END) AS p0, max(CASE WHEN late THEN provenance END) AS p1 FROM s GROUP BY 1), u AS (SELECT metric_key, 'grounded' AS score, g0 AS baseline, g1 AS current FROM p UNION ALL SELECT metric_key, 'provenance', p0, p1 FROM p) SELECT metric_key, score, round(baseline, 6) AS baseline, round(current, 6) AS current, round(current - baseline, 6) AS delta, CASE WHEN baseline IS NULL OR current IS NULL THEN 'missing' WHEN current > baseline + 1e-9 THEN 'better' WHEN current < baseline - 1e-9 THEN 'worse' ELSE 'same' END AS verdict FROM u")
 def _(spark, sf_dir):
-    events = load(spark, sf_dir, "events")
-    middle = events.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("middle"))
-    halves = events.join(F.broadcast(middle))  # one row
-    late = F.col("ts") >= F.col("middle")
-    counts = halves.groupBy("event_type").agg(F.count_if(~late).alias("baseline"), F.count_if(late).alias("current"))
-    verdict = F.when(F.col("current") > F.col("baseline"), "better").when(F.col("current") < F.col("baseline"), "worse").otherwise("same")
-    return counts.withColumn("delta", F.col("current") - F.col("baseline")).withColumn("verdict", verdict)
+    """Scorecards of the filings before and from 2015 on, per metric."""
+    rows = _obs(spark, sf_dir).where("document_year IS NOT NULL AND metric_key IS NOT NULL")
+    late = F.col("document_year") >= 2015
 
+    def share(flag, part):
+        return F.avg(F.when(part, F.col(flag).cast("int")))
 
-@_query("a22_gate_failures", f"WITH {_OBS}, d AS (SELECT document_id, avg(CAST(is_grounded AS INTEGER)) AS g, avg(CASE WHEN number IS NULL THEN 1 ELSE 0 END) AS t, count(*) AS n FROM obs GROUP BY 1) SELECT document_id, concat_ws(',', CASE WHEN g < 0.5 THEN 'low_grounding' END, CASE WHEN t > 0.2 THEN 'many_texts' END, CASE WHEN n < 10 THEN 'few_facts' END) AS failures, g >= 0.5 AND t <= 0.2 AND n >= 10 AS allow FROM d")
+    wide = rows.groupBy("metric_key").agg(*(share(flag, part).alias(f"{name}_{side}") for name, flag in (("grounded", "is_grounded"), ("provenance", "has_provenance")) for side, part in (("a", ~late), ("b", late))))
+    long = wide.select("metric_key", F.explode(F.array(*(F.struct(F.lit(n).alias("score"), F.col(f"{n}_a").alias("baseline"), F.col(f"{n}_b").alias("current")) for n in ("grounded", "provenance")))).alias("s")).select("metric_key", "s.*")
+    verdict = F.when(F.col("baseline").isNull() | F.col("current").isNull(), "missing").when(F.col("current") > F.col("baseline") + 1e-9, "better").when(F.col("current") < F.col("baseline") - 1e-9, "worse").otherwise("same")
+    return long.select("metric_key", "score", F.round("baseline", 6).alias("baseline"), F.round("current", 6).alias("current"), F.round(F.col("current") - F.col("baseline"), 6).alias("delta"), verdict.alias("verdict"))
+
+
+_PLAUSIBLE = r"""(period IN ('current_period', 'prior_period') OR coalesce((regexp_matches(lower(period), 'january|february|march|april|may|june|july|august|september|october|november|december') OR regexp_full_match(period, '(19|20)[0-9]{2}')) AND TRY_CAST(regexp_extract(period, '(?:19|20)[0-9]{2}') AS INTEGER) BETWEEN 2000 AND 2035 AND (document_year IS NULL OR TRY_CAST(regexp_extract(period, '(?:19|20)[0-9]{2}') AS INTEGER) BETWEEN document_year - 5 AND document_year + 1), false))"""
+
+
+@_query("f14_plausible_periods", f"SELECT observation_id, {_PLAUSIBLE} AS plausible FROM metric_observations WHERE period IS NOT NULL")
 def _(spark, sf_dir):
-    rows = _obs(spark, sf_dir).groupBy("document_id").agg(F.avg(F.col("is_grounded").cast("int")).alias("g"), F.avg(F.col("number").isNull().cast("int")).alias("t"), F.count(F.lit(1)).alias("n"))
-    failures = F.concat_ws(",", F.when(F.col("g") < 0.5, "low_grounding"), F.when(F.col("t") > 0.2, "many_texts"), F.when(F.col("n") < 10, "few_facts"))
-    return rows.select("document_id", failures.alias("failures"), (failures == "").alias("allow"))
+    return load(spark, sf_dir, "metric_observations").where("period IS NOT NULL").select("observation_id", structure.plausible_period(F.col("period"), F.col("document_year")).alias("plausible"))
 
 
-@_query("a27_case_tolerance", f"WITH {_OBS}, p AS (SELECT document_id, metric_key, period, min(number) AS expected, max(number) AS answer, count(*) AS n FROM obs WHERE number IS NOT NULL GROUP BY 1, 2, 3) SELECT document_id, metric_key, period, abs(answer - expected) <= greatest(1, 0.001 * abs(expected)) AS passed FROM p WHERE n >= 2")
+@_query("a22_gate_failures", f"WITH {_OBS}, d AS (SELECT document_id, max(nullif(company, '')) AS company, max(document_year) AS y, avg(is_grounded::INTEGER) AS g, avg((NOT {_PLAUSIBLE})::INTEGER) AS i FROM obs GROUP BY 1) SELECT document_id, concat_ws(',', CASE WHEN company IS NULL THEN 'missing_company' END, CASE WHEN y IS NULL THEN 'missing_year' END, CASE WHEN g < 0.95 - 1e-9 THEN 'source_grounding_rate' END, CASE WHEN i > 1e-9 THEN 'implausible_period_ratio' END) AS failures, company IS NOT NULL AND y IS NOT NULL AND g >= 0.95 - 1e-9 AND coalesce(i, 0) <= 1e-9 AS allow FROM d")
 def _(spark, sf_dir):
-    pairs = _obs(spark, sf_dir).where("number IS NOT NULL").groupBy("document_id", "metric_key", "period").agg(F.min("number").alias("expected"), F.max("number").alias("answer"), F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return pairs.select("document_id", "metric_key", "period", (F.abs(F.col("answer") - F.col("expected")) <= F.greatest(F.lit(1.0), 0.001 * F.abs("expected"))).alias("passed"))
+    return documents.gate_failures(_obs(spark, sf_dir).withColumn("plausible", structure.plausible_period(F.col("period"), F.col("document_year"))))
 
 
-@_query("a30_character_error_rate", r"SELECT m.observation_id, round(levenshtein(regexp_replace(r.canonical_name, '\s+', '', 'g'), regexp_replace(m.company, '\s+', '', 'g')) / length(regexp_replace(r.canonical_name, '\s+', '', 'g')), 6) AS cer FROM metric_observations m JOIN resolved_entities r ON m.company_id = r.entity_id WHERE r.canonical_name SIMILAR TO '[ -~]+' AND m.company SIMILAR TO '[ -~]+'")
+@_query("a27_case_tolerance", f"WITH {_OBS}, p AS (SELECT document_id, metric_key, period, min(number) AS expected, max(number) AS answer, count(*) AS n FROM obs WHERE number IS NOT NULL GROUP BY 1, 2, 3) SELECT document_id, metric_key, period, abs(answer - expected) <= greatest(1, 0.001 * abs(expected)) AS passed FROM p WHERE n >= 2")
 def _(spark, sf_dir):
-    ascii_only = r"^[ -~]+$"
-    entities = load(spark, sf_dir, "resolved_entities").where(F.col("canonical_name").rlike(ascii_only)).select(F.col("entity_id").alias("company_id"), "canonical_name")
-    rows = load(spark, sf_dir, "metric_observations").where(F.col("company").rlike(ascii_only)).select("observation_id", "company_id", "company").join(entities, "company_id")
-    return rows.select("observation_id", documents.character_error_rate(F.col("canonical_name"), F.col("company")).alias("cer"))
+    pairs = _obs(spark, sf_dir).where("number IS NOT NULL").groupBy("document_id", "metric_key", "period").agg(F.min("number").alias("expected"), F.max("number").alias("answer"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return pairs.select("document_id", "metric_key", "period", (F.abs(F.col("answer") - F.col("expected")) <= F.greatest(F.lit(1.0), 0.001 * F.abs("expected"))).alias("passed"))
 
 
-@_query("a30_character_error_rate_all")
+@_query("a30_character_error_rate")
 def _(spark, sf_dir):
-    # all names: the SQL of a30_character_error_rate keeps ASCII names only
+    # no SQL: DuckDB counts the edits of bytes, not of characters
     entities = load(spark, sf_dir, "resolved_entities").where("canonical_name IS NOT NULL").select(F.col("entity_id").alias("company_id"), "canonical_name")
     rows = load(spark, sf_dir, "metric_observations").where("company IS NOT NULL").select("observation_id", "company_id", "company").join(entities, "company_id")
     return rows.select("observation_id", documents.character_error_rate(F.col("canonical_name"), F.col("company")).alias("cer"))
@@ -177,18 +195,12 @@ def _(spark, sf_dir):
 
 @_query("x6_exact_copies", r"SELECT segment_id FROM (SELECT segment_id, row_number() OVER (PARTITION BY md5(lower(regexp_replace(content, '\s+', '', 'g'))) ORDER BY length(content) DESC, segment_id) AS copy FROM langqi_restatement_segments WHERE content IS NOT NULL) WHERE copy = 1")
 def _(spark, sf_dir):
-    order = Window.partitionBy(F.md5(F.lower(F.regexp_replace("content", r"\s+", "")))).orderBy(F.length("content").desc(), "segment_id")
-    return _segments(spark, sf_dir).where("content IS NOT NULL").withColumn("copy", F.row_number().over(order)).where("copy = 1").select("segment_id")
-
-
-@_query("c28_dedupe_key", r"SELECT segment_id, md5(regexp_replace(regexp_replace(lower(trim(content)), '\s+', '', 'g'), '[0-9]+', '#', 'g')) AS k FROM langqi_restatement_segments WHERE content IS NOT NULL AND content SIMILAR TO '[ -~\n]+'")
-def _(spark, sf_dir):
-    return _segments(spark, sf_dir).where(F.col("content").rlike(r"^[ -~\n]+$")).select("segment_id", F.md5(documents.dedupe_key(F.col("content"))).alias("k"))
+    copies = _segments(spark, sf_dir).where("content IS NOT NULL").groupBy(F.md5(F.lower(F.regexp_replace("content", r"\s+", ""))).alias("k"))
+    return copies.agg(F.min(F.struct((-F.length("content")).alias("shorter"), "segment_id")).alias("first")).select("first.segment_id")
 
 
-@_query("c28_dedupe_key_all")
+@_query("c28_dedupe_key", r"SELECT segment_id, md5(regexp_replace(regexp_replace(lower(trim(content)), '\s+', '', 'g'), '[0-9]+', '#', 'g')) AS k FROM langqi_restatement_segments WHERE content IS NOT NULL")
 def _(spark, sf_dir):
-    # all segments: the SQL of c28_dedupe_key keeps ASCII texts only
     return _segments(spark, sf_dir).where("content IS NOT NULL").select("segment_id", F.md5(documents.dedupe_key(F.col("content"))).alias("k"))
 
 
@@ -241,14 +253,7 @@ def _(spark, sf_dir):
 
 @_query("r1_hybrid_retrieval")
 def _(spark, sf_dir):
-    question = "operating cash flow and supplier concentration"
-    segments = _segments(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit("")))
-    probe = spark.range(1).select(documents.hash_embedding(F.lit(question)).alias("probe"))  # one row
-    vectors = segments.select("segment_id", documents.hash_embedding(F.col("content")).alias("embedding")).join(F.broadcast(probe))
-    vector = vectors.select("segment_id", F.round(retrieval.cosine(F.col("probe"), F.col("embedding")), 6).alias("score"))
-    lexical = retrieval.lexical_scores(segments, question.split())
-    merged = retrieval.merge_hits(vector, lexical).join(segments.select("segment_id", "content"), "segment_id")
-    return merged.where(~retrieval.is_reference_only(F.col("content"))).orderBy(F.col("score").desc(), F.length("content").desc(), "segment_id").limit(10).drop("content")
+    return search.hybrid_retrieve(_segments(spark, sf_dir), _QUESTION, k=10)
 
 
 @_query("c29_paragraph_packing")
@@ -256,10 +261,20 @@ def _(spark, sf_dir):
     return _segments(spark, sf_dir).where("content IS NOT NULL").select("segment_id", F.posexplode(documents.pack_paragraphs(F.col("content"))).alias("chunk_no", "chunk"))
 
 
-@_query("r15_statement_metrics")
+@_query("r15_statement_metrics", """
+WITH d AS (SELECT doc_id, CASE WHEN json_type(j) = 'VARCHAR' THEN TRY_CAST(json_extract_string(j, '$') AS JSON) ELSE j END AS o FROM (SELECT doc_id, TRY_CAST(payload AS JSON) AS j FROM parsed_documents)),
+f AS (SELECT doc_id, CASE WHEN json_type(v) = 'VARCHAR' THEN TRY_CAST(json_extract_string(v, '$') AS JSON) ELSE v END AS f FROM (SELECT doc_id, coalesce(json_extract(o, '$.financial_schema'), json_extract(o, '$.financialSchema')) AS v FROM d)),
+s AS (SELECT doc_id, CASE json_type(s) WHEN 'OBJECT' THEN json_array(s) WHEN 'ARRAY' THEN s END AS s FROM (SELECT doc_id, CASE WHEN json_type(s0) = 'VARCHAR' THEN TRY_CAST(json_extract_string(s0, '$') AS JSON) ELSE s0 END AS s FROM (SELECT doc_id, json_extract(f, '$.statements') AS s0 FROM f))),
+e AS (SELECT doc_id, s->i AS e FROM (SELECT doc_id, s, unnest(range(CAST(json_array_length(s) AS BIGINT))) AS i FROM s)),
+k AS (SELECT doc_id, coalesce(json_extract_string(e, '$.table_id'), json_extract_string(e, '$.tableId')) AS table_id, coalesce(json_extract_string(e, '$.statement_type'), json_extract_string(e, '$.statementType')) AS statement_type, m, unnest(json_keys(m)) AS metric_key FROM (SELECT doc_id, e, json_extract(e, '$.metrics') AS m FROM e WHERE json_type(e) = 'OBJECT') WHERE json_type(m) = 'OBJECT'),
+p AS (SELECT doc_id, table_id, statement_type, metric_key, v, unnest(json_keys(v)) AS period FROM (SELECT *, json_extract(m, '$."' || metric_key || '"') AS v FROM k) WHERE json_type(v) = 'OBJECT')
+SELECT doc_id, table_id, statement_type, metric_key, period, TRY_CAST(json_extract_string(v, '$."' || period || '"') AS DOUBLE) AS value FROM p""")
 def _(spark, sf_dir):
-    items = nested.payload_table(load(spark, sf_dir, "parsed_documents"), "statements")
-    return items.groupBy("statement_type").agg(F.count(F.lit(1)).alias("statements"), F.countDistinct("root_key").alias("documents"))
+    """Metric rows of the statements: the nested map of metric and period, one row each."""
+    target = nested.Target("statement_metrics", (nested.into("financial_schema"), nested.each("statements")), (("table_id", "string"), ("statement_type", "string"), ("metrics", "map<string,map<string,string>>")))
+    rows = nested.flat_table(load(spark, sf_dir, "parsed_documents"), "doc_id", nested.payload_object("payload"), target)
+    keyed = rows.select(F.col("root_key").alias("doc_id"), "table_id", "statement_type", F.explode("metrics").alias("metric_key", "periods"))
+    return keyed.select("doc_id", "table_id", "statement_type", "metric_key", F.explode("periods").alias("period", "value")).withColumn("value", F.col("value").try_cast("double"))
 
 
 def _metric_case() -> str:
@@ -295,3 +310,90 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = _segments(spark, sf_dir).where("content IS NOT NULL AND position IS NOT NULL").select("doc_id", "position", F.col("metadata.section_type").alias("parent_id"), F.col("metadata.page_start").alias("page"), "content")
     return tables.coalesce_short(rows)
+
+
+@_query("c10_period_tokens", r"WITH h AS (SELECT id, unnest(range(0, len(headers))) AS i, unnest(headers) AS h FROM parsed_tables WHERE headers IS NOT NULL), t AS (SELECT id, i, CASE WHEN len(regexp_extract_all(h, '(?i)\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+[0-9]{1,2},\s+[0-9]{4}\b')) > 0 THEN list_transform(regexp_extract_all(h, '(?i)\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+[0-9]{1,2},\s+[0-9]{4}\b'), lambda d: trim(regexp_replace(d, '\s+', ' ', 'g'))) WHEN len(regexp_extract_all(h, '(20[0-9]{2}|19[0-9]{2})\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日')) > 0 THEN regexp_extract_all(h, '(20[0-9]{2}|19[0-9]{2})\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日', 1) ELSE regexp_extract_all(h, '(?:^|[^0-9])((?:20|19)[0-9]{2})(?:$|[^0-9])', 1) END AS p FROM h WHERE h IS NOT NULL) SELECT DISTINCT id, i::INTEGER AS header_no, unnest(p) AS period FROM t")
+def _(spark, sf_dir):
+    cells = load(spark, sf_dir, "parsed_tables").select("id", F.posexplode("headers").alias("header_no", "h")).where("h IS NOT NULL")
+    return cells.select("id", "header_no", F.explode(structure.period_tokens(F.col("h"))).alias("period"))
+
+
+@_query("c18_row_labels", r"WITH l AS (SELECT id, unnest(range(0, len(rows)))::INTEGER AS row_no, unnest(rows)[1] AS label FROM parsed_tables), n AS (SELECT *, trim(regexp_replace(translate(lower(label), '’“”–', '''\"\"-'), '\s+', ' ', 'g')) AS t FROM l WHERE label IS NOT NULL) SELECT id, row_no, trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\([^)]*\)', ' ', 'g'), '\b(notes?|footnotes?)\b', ' ', 'g'), '\bsee\b.*$', ' ', 'g'), '^[a-z]\.\s+', ''), 'less:', ' '), 'add:', ' '), '[*†]+', ' ', 'g'), '\s+', ' ', 'g')) AS label FROM n".replace('\\"', '"'))
+def _(spark, sf_dir):
+    rows = load(spark, sf_dir, "parsed_tables").select("id", F.posexplode("rows").alias("row_no", "r")).select("id", "row_no", F.get("r", F.lit(0)).alias("l"))
+    return rows.where("l IS NOT NULL").select("id", "row_no", structure.row_label(F.col("l")).alias("label"))
+
+
+@_query("c24_promoted_headers")
+def _(spark, sf_dir):
+    return structure.promoted_headers(load(spark, sf_dir, "parsed_tables"))
+
+
+@_query("c25_compact_tables")
+def _(spark, sf_dir):
+    return structure.compact_tables(load(spark, sf_dir, "parsed_tables"))
+
+
+@_query("w11_merged_tables")
+def _(spark, sf_dir):
+    return structure.merged_tables(load(spark, sf_dir, "parsed_tables"))
+
+
+@_query("c32_company_keys")
+def _(spark, sf_dir):
+    return structure.company_keys(load(spark, sf_dir, "metric_observations"), "company")
+
+
+@_query("j17_documents_by_key")
+def _(spark, sf_dir):
+    """Documents per canonical company: written names that share a key share their documents."""
+    obs = load(spark, sf_dir, "metric_observations").where("company IS NOT NULL")
+    keys = structure.company_keys(obs, "company")
+    return obs.select(F.col("company").alias("name"), "document_id").distinct().join(keys, "name").select("company_id", "document_id").distinct()
+
+
+@_query("a5_resolved_observations", f"WITH {_OBS}, p AS (SELECT observation_id FROM obs WHERE company_id IS NULL OR coalesce(metric_key, '') = '' OR coalesce(period, '') = ''), r AS (SELECT observation_id, row_number() OVER (PARTITION BY company_id, metric_key, period ORDER BY {_TRUST}) AS place FROM obs WHERE company_id IS NOT NULL AND metric_key <> '' AND period <> '') SELECT observation_id, true AS passed_through FROM p UNION ALL SELECT observation_id, false FROM r WHERE place = 1")
+def _(spark, sf_dir):
+    """One observation per company, metric and period; those without a key pass unresolved."""
+    obs = _obs(spark, sf_dir)
+    keyless = F.col("company_id").isNull() | (F.coalesce("metric_key", F.lit("")) == "") | (F.coalesce("period", F.lit("")) == "")
+    winners = facts.resolve_conflicts(obs.where(~keyless)).select(F.col("winner_id").alias("observation_id"), F.lit(False).alias("passed_through"))
+    return obs.where(keyless).select("observation_id", F.lit(True).alias("passed_through")).unionByName(winners)
+
+
+_QUESTION = "operating cash flow and supplier concentration"
+
+
+@_query("c6_score_adjustment", "WITH c AS (SELECT segment_id, coalesce(metadata.section_type, '') AS kind, lower(coalesce(content, '')) AS t FROM langqi_restatement_segments), f AS (SELECT *, contains(t, '营业收入') OR contains(t, '营收') OR contains(t, 'revenue') OR contains(t, '主营业务收入') AS revenue, contains(t, '经营活动产生的现金流量净额') OR contains(t, '经营活动现金流量净额') OR contains(t, '经营现金流') OR contains(t, 'operating cash flow') OR contains(t, 'cash from operating') AS cash, contains(t, '金融资产') OR contains(t, '金融负债') OR contains(t, '合同负债') OR contains(t, '公允价值') OR contains(t, 'fair value') OR contains(t, 'level 3') AS note FROM c) SELECT segment_id, round(CAST(CASE WHEN kind = 'risk_section' THEN 0.15 WHEN kind IN ('financial_statement', 'financial_note') THEN -0.12 ELSE 0 END - CASE WHEN revenue AND NOT cash THEN 0.16 ELSE 0 END - CASE WHEN note AND kind IN ('financial_statement', 'financial_note', '') THEN 0.12 ELSE 0 END AS DOUBLE), 6) AS adjustment FROM f")
+def _(spark, sf_dir):
+    rows = _segments(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit("")))
+    return rows.select("segment_id", F.round(search.score_adjustment(_QUESTION, F.col("metadata.section_type"), F.col("content"), hints=("risk_section",)), 6).alias("adjustment"))
+
+
+def _filing_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Companies, their filings, and what the filings mention, as nodes and edges."""
+    owned = load(spark, sf_dir, "metric_observations").where("company_id IS NOT NULL AND document_id IS NOT NULL").select("company_id", "document_id").distinct()
+    mentioned = load(spark, sf_dir, "llm_entities").where("doc_id IS NOT NULL AND name IS NOT NULL").groupBy("doc_id", "name").agg(F.coalesce(F.min("node_type"), F.lit("entity")).alias("node_type"))
+    things = mentioned.groupBy("name").agg(F.min("node_type").alias("node_type"))
+    empty = F.lit("{}").alias("properties")
+    nodes = owned.select(F.concat(F.lit("c:"), "company_id").alias("node_id"), F.lit("company").alias("node_type"), F.col("company_id").alias("name"), empty).distinct()
+    nodes = nodes.unionByName(owned.select(F.concat(F.lit("d:"), "document_id").alias("node_id"), F.lit("document").alias("node_type"), F.col("document_id").alias("name"), empty).distinct())
+    nodes = nodes.unionByName(things.select(F.concat(F.lit("n:"), "name").alias("node_id"), "node_type", "name", empty))
+    edges = owned.select(F.concat_ws("|", F.lit("HAS_DOCUMENT"), "company_id", "document_id").alias("edge_id"), F.concat(F.lit("c:"), "company_id").alias("source_id"), F.concat(F.lit("d:"), "document_id").alias("target_id"), F.lit("HAS_DOCUMENT").alias("relationship_type"))
+    kind = F.concat(F.lit("HAS_"), F.upper("node_type"))
+    return nodes, edges.unionByName(mentioned.select(F.concat_ws("|", kind, "doc_id", "name").alias("edge_id"), F.concat(F.lit("d:"), "doc_id").alias("source_id"), F.concat(F.lit("n:"), "name").alias("target_id"), kind.alias("relationship_type")))
+
+
+@_query("g3_graph_search", """
+WITH o AS (SELECT DISTINCT company_id, document_id FROM metric_observations WHERE company_id IS NOT NULL AND document_id IS NOT NULL),
+m AS (SELECT doc_id, name, coalesce(min(node_type), 'entity') AS node_type FROM llm_entities WHERE doc_id IS NOT NULL AND name IS NOT NULL GROUP BY 1, 2),
+th AS (SELECT name, min(node_type) AS node_type FROM m GROUP BY 1),
+n AS (SELECT DISTINCT 'c:' || company_id AS node_id, 'company' AS node_type, company_id AS name FROM o UNION ALL SELECT DISTINCT 'd:' || document_id, 'document', document_id FROM o UNION ALL SELECT 'n:' || name, node_type, name FROM th),
+e AS (SELECT concat_ws('|', 'HAS_DOCUMENT', company_id, document_id) AS edge_id, 'c:' || company_id AS s, 'd:' || document_id AS t, 'HAS_DOCUMENT' AS k FROM o UNION ALL SELECT concat_ws('|', 'HAS_' || upper(node_type), doc_id, name), 'd:' || doc_id, 'n:' || name, 'HAS_' || upper(node_type) FROM m),
+f AS (SELECT e.*, a.name AS an, b.name AS bn, lower(concat_ws(' ', a.name, b.name, k, '{}', '{}')) AS x, CASE WHEN a.node_type = 'risk' OR b.node_type = 'risk' THEN 0.2 + CASE WHEN k = 'HAS_RISK' THEN 0.06 ELSE 0 END ELSE 0 END AS bonus FROM e JOIN n a ON a.node_id = s JOIN n b ON b.node_id = t),
+h AS (SELECT *, contains(x, 'risk') AS h1, contains(x, 'supplier') AS h2 FROM f),
+p AS (SELECT edge_id AS path_id, an || ' -[' || k || ']-> ' || bn AS summary, h1::INT + h2::INT AS hits, bonus, 1 AS length FROM h
+  UNION ALL SELECT a.edge_id || '::' || b.edge_id, a.an || ' -[' || a.k || ']-> ' || a.bn || ' -[' || b.k || ']-> ' || b.bn, (a.h1 OR b.h1)::INT + (a.h2 OR b.h2)::INT, greatest(a.bonus, b.bonus), 2 FROM h a JOIN h b ON a.t = b.s WHERE b.t <> a.s)
+SELECT path_id, summary, round(least(1.0, CASE WHEN length = 1 THEN 0.2 + hits / 2 * 0.6 ELSE 0.15 + hits / 2 * 0.5 END + bonus), 4) AS score, length FROM p WHERE hits > 0 OR bonus > 0 ORDER BY score DESC, path_id LIMIT 10""")
+def _(spark, sf_dir):
+    return search.graph_search(*_filing_graph(spark, sf_dir), "supplier risk", 10)

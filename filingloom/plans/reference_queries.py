@@ -220,7 +220,7 @@ def _(spark, sf_dir):
     return facts.risk_heatmap(load(spark, sf_dir, "llm_entities"))
 
 
-@_query("x2_business_overlap", "WITH d AS (SELECT DISTINCT snippet_id, name FROM llm_entities WHERE snippet_id IS NOT NULL AND name IS NOT NULL AND node_type = 'business_segment'), n AS (SELECT snippet_id, count(*) AS n FROM d GROUP BY 1), s AS (SELECT a.snippet_id AS a, b.snippet_id AS b, count(*) AS shared FROM d a JOIN d b ON a.name = b.name AND a.snippet_id < b.snippet_id GROUP BY 1, 2) SELECT a, b, shared, round(shared / (x.n + y.n - shared), 4) AS score FROM s JOIN n x ON x.snippet_id = a JOIN n y ON y.snippet_id = b")
+@_query("x2_business_overlap", "WITH top AS (SELECT snippet_id FROM llm_entities WHERE snippet_id IS NOT NULL AND name IS NOT NULL AND node_type = 'business_segment' GROUP BY 1 ORDER BY count(*) DESC, snippet_id LIMIT 20), d AS (SELECT DISTINCT snippet_id, name FROM llm_entities WHERE snippet_id IN (SELECT snippet_id FROM top) AND name IS NOT NULL AND node_type = 'business_segment'), n AS (SELECT snippet_id, count(*) AS n FROM d GROUP BY 1), s AS (SELECT a.snippet_id AS a, b.snippet_id AS b, count(*) AS shared FROM d a JOIN d b ON a.name = b.name AND a.snippet_id < b.snippet_id GROUP BY 1, 2) SELECT a, b, shared, round(shared / (x.n + y.n - shared), 4) AS score FROM s JOIN n x ON x.snippet_id = a JOIN n y ON y.snippet_id = b")
 def _(spark, sf_dir):
     segments = load(spark, sf_dir, "llm_entities").where("node_type = 'business_segment'")
     return facts.overlap(segments, "snippet_id", "name")
@@ -229,7 +229,7 @@ def _(spark, sf_dir):
 _NOW = "2024-06-30 00:00:00"
 
 
-@_query("a16_queue_metrics", "WITH j AS (SELECT *, status = 'running' AND coalesce(lease_expires_at <= TIMESTAMP '" + _NOW + "', false) AS expired FROM ingestion_jobs), m AS (SELECT " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in jobs.STATUSES) + ", count(DISTINCT worker_id) FILTER (WHERE status = 'running' AND NOT expired) AS active_workers, count(*) FILTER (WHERE expired) AS expired_leases, count(*) FILTER (WHERE status = 'failed' AND updated_at >= TIMESTAMP '" + _NOW + "' - INTERVAL 1 HOUR) AS recent_failures, count(cancel_requested_at) AS cancel_requests, min(CASE WHEN status = 'queued' THEN created_at WHEN status = 'retry_wait' AND (available_at IS NULL OR available_at <= TIMESTAMP '" + _NOW + "') THEN coalesce(available_at, updated_at) END) AS oldest_ready FROM j) SELECT *, CASE WHEN expired_leases > 0 OR recent_failures >= 3 THEN 'critical' WHEN retry_wait >= 5 THEN 'warning' ELSE 'ok' END AS health FROM m")
+@_query("a16_queue_metrics", "WITH j AS (SELECT *, status = 'running' AND coalesce(lease_expires_at <= TIMESTAMP '" + _NOW + "', false) AS expired FROM ingestion_jobs), m AS (SELECT " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in jobs.STATUSES) + ", count(DISTINCT nullif(worker_id, '')) FILTER (WHERE status = 'running' AND NOT expired) AS active_workers, count(*) FILTER (WHERE expired) AS expired_leases, count(*) FILTER (WHERE status = 'failed' AND updated_at >= TIMESTAMP '" + _NOW + "' - INTERVAL 3600 SECOND) AS recent_failures, count(cancel_requested_at) AS cancel_requests, min(CASE WHEN status = 'queued' THEN created_at WHEN status = 'retry_wait' AND (available_at IS NULL OR available_at <= TIMESTAMP '" + _NOW + "') THEN coalesce(available_at, updated_at) END) AS oldest_ready FROM j) SELECT *, CASE WHEN oldest_ready IS NOT NULL THEN round(greatest(epoch_us(TIMESTAMP '" + _NOW + "') - epoch_us(oldest_ready), 0) / 1e6, 3) END AS oldest_ready_seconds, concat_ws(',', CASE WHEN expired_leases >= 1 THEN 'expired_worker_lease' END, CASE WHEN recent_failures >= 1 THEN 'recent_ingestion_failures' END, CASE WHEN epoch_us(TIMESTAMP '" + _NOW + "') - epoch_us(oldest_ready) >= 300000000 THEN 'oldest_ready_age_high' END, CASE WHEN retry_wait >= 5 THEN 'retry_wait_backlog' END) AS alerts, CASE WHEN expired_leases >= 1 OR recent_failures >= 1 THEN 'critical' WHEN epoch_us(TIMESTAMP '" + _NOW + "') - epoch_us(oldest_ready) >= 300000000 OR retry_wait >= 5 THEN 'warning' ELSE 'ok' END AS health FROM m")
 def _(spark, sf_dir):
     return jobs.queue_metrics(load(spark, sf_dir, "ingestion_jobs"), F.lit(_NOW).cast("timestamp_ntz"))
 
@@ -261,18 +261,7 @@ def _(spark, sf_dir):
 
 @_query("a25_value_summary", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, n AS events, round(max(value) FILTER (WHERE i = round_even(0.95 * (n - 1), 0)), 6) AS p95 FROM r GROUP BY event_type, n")
 def _(spark, sf_dir):
-    from pyspark.sql import Window
-
-    place = Window.partitionBy("event_type")
-    rows = load(spark, sf_dir, "events").where("value IS NOT NULL").withColumn("i", F.row_number().over(place.orderBy("value", "event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(place))
-    nearest = F.bround(F.lit(0.95) * (F.col("n") - 1), 0)
-    return rows.groupBy("event_type", F.col("n").alias("events")).agg(F.round(F.max(F.when(F.col("i") == nearest, F.col("value"))), 6).alias("p95"))
-
-
-@_query("a26_channel_rates", "SELECT event_type, count(*) AS cases, count(*) FILTER (WHERE value >= 50) AS passed, round(count(*) FILTER (WHERE value >= 50) / count(*), 4) AS rate FROM events GROUP BY event_type")
-def _(spark, sf_dir):
-    passed = F.count_if(F.col("value") >= 50)
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("cases"), passed.alias("passed"), F.round(passed / F.count(F.lit(1)), 4).alias("rate"))
+    return facts.nearest_rank(load(spark, sf_dir, "events"), "event_type", "value", 0.95).select("event_type", F.col("n").alias("events"), F.round("ranked", 6).alias("p95"))
 
 
 @_query("o10_paging", "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 100")
@@ -280,22 +269,10 @@ def _(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", "ts", "event_type").orderBy(F.col("ts").desc(), F.col("event_id").desc()).offset(100).limit(50)
 
 
-@_query("o11_company_list", "SELECT entity_id, canonical_name, row_number() OVER (ORDER BY lower(canonical_name), entity_id) AS place FROM resolved_entities WHERE canonical_name SIMILAR TO '[ -~]+'")
-def _(spark, sf_dir):
-    from pyspark.sql import Window
-
-    # the reference table of entities does not grow with the data
-    rows = load(spark, sf_dir, "resolved_entities").where(F.col("canonical_name").rlike(r"^[ -~]+$"))
-    return rows.select("entity_id", "canonical_name", F.row_number().over(Window.orderBy(F.lower("canonical_name"), "entity_id")).alias("place"))
-
-
-@_query("o11_company_list_all")
+@_query("o11_company_list", "SELECT entity_id, canonical_name, row_number() OVER (ORDER BY lower(canonical_name), entity_id) AS place FROM resolved_entities WHERE canonical_name IS NOT NULL")
 def _(spark, sf_dir):
-    from pyspark.sql import Window
-
-    # all names: the SQL of o11_company_list keeps ASCII names only
-    rows = load(spark, sf_dir, "resolved_entities").where("canonical_name IS NOT NULL")
-    return rows.select("entity_id", "canonical_name", F.row_number().over(Window.orderBy(F.lower("canonical_name"), "entity_id")).alias("place"))
+    rows = load(spark, sf_dir, "resolved_entities").where("canonical_name IS NOT NULL").select("entity_id", "canonical_name", F.lower("canonical_name").alias("folded"))
+    return facts.global_place(rows, "folded", "entity_id").select("entity_id", "canonical_name", "place")
 
 
 @_query("s14_segments_in_order", "SELECT segment_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY position, segment_id) AS place FROM langqi_restatement_segments")
@@ -373,6 +350,16 @@ def _(spark, sf_dir):
     return retrieval.ranking_quality(judged.withColumn("relevant", (F.col("label") == F.col("wanted")).cast("int")), 10)
 
 
+@_query("a26_channel_rates", f"{_NEIGHBOURS}, t AS (SELECT query_id, rank, CAST(a.label = b.label AS INTEGER) AS relevant FROM r JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = r.vec_id WHERE rank <= 10), c AS (SELECT query_id, unnest([1, 3, 10]) AS k FROM (SELECT DISTINCT query_id FROM t)), p AS (SELECT c.query_id, c.k, max(relevant) AS passed FROM c JOIN t ON t.query_id = c.query_id AND t.rank <= c.k GROUP BY ALL) SELECT 'top_' || k AS channel, count(*) AS cases, sum(passed)::BIGINT AS passed, round(avg(passed), 4) AS rate FROM p GROUP BY k")
+def _(spark, sf_dir):
+    """Share of the stated queries that find a vector of their own label, per depth of the channel."""
+    labels = load(spark, sf_dir, "embeddings").select("vec_id", "label")
+    judged = _neighbours(spark, sf_dir).join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
+    depths = judged.withColumn("relevant", (F.col("label") == F.col("wanted")).cast("int")).select("query_id", "rank", "relevant", F.explode(F.array(F.lit(1), F.lit(3), F.lit(10))).alias("k")).where("rank <= k")
+    cases = depths.groupBy("query_id", "k").agg(F.max("relevant").alias("passed"))
+    return cases.groupBy("k").agg(F.count(F.lit(1)).alias("cases"), F.sum("passed").alias("passed"), F.round(F.avg("passed"), 4).alias("rate")).select(F.concat(F.lit("top_"), "k").alias("channel"), "cases", "passed", "rate")
+
+
 @_query("w15_windows", "SELECT segment_id, i AS window_no, substring(content, CAST(i * 700 + 1 AS BIGINT), 800) AS piece FROM langqi_restatement_segments, LATERAL (SELECT unnest(range(0, CAST(ceil(greatest(length(content) - 800, 0) / 700.0) AS BIGINT) + 1)) AS i) WHERE content IS NOT NULL")
 def _(spark, sf_dir):
     rows = load(spark, sf_dir, "langqi_restatement_segments").where("content IS NOT NULL")
@@ -384,7 +371,7 @@ _FOLDED = r"md5(lower(regexp_replace(content, '\s+', '', 'g')))"
 
 @_query("w5_keep_first", f"SELECT segment_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {_FOLDED} ORDER BY position, segment_id) AS copy FROM langqi_restatement_segments WHERE content IS NOT NULL) WHERE copy = 1")
 def _(spark, sf_dir):
-    return retrieval.keep_first(load(spark, sf_dir, "langqi_restatement_segments"), "doc_id", "content", ["position", "segment_id"]).select("segment_id", "doc_id")
+    return retrieval.keep_first(load(spark, sf_dir, "langqi_restatement_segments"), "doc_id", "content", ["position", "segment_id"], ["segment_id", "doc_id"])
 
 
 @_query("c31_fingerprint", r"SELECT segment_id, sha256(lower(trim(regexp_replace(content, '\s+', ' ', 'g')))) AS fingerprint FROM langqi_restatement_segments WHERE content IS NOT NULL")
@@ -424,9 +411,12 @@ def _(spark, sf_dir):
     return graph.edges_with_labels(_nodes(spark, sf_dir), _edges(spark, sf_dir)).select("edge_id", "source_name", "target_name")
 
 
-@_query("a28_graph_quality", f"WITH {_EDGES}, {_NODES} SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) - count(DISTINCT node_id) FROM n) AS duplicate_nodes, count(*) AS edges, count(*) - count(DISTINCT edge_id) AS duplicate_edges, count(*) FILTER (WHERE source_id NOT IN (SELECT node_id FROM n) OR target_id NOT IN (SELECT node_id FROM n)) AS missing_endpoints, 0 AS missing_evidence, 1.0 AS grounding FROM e")
+@_query("a28_graph_quality", "WITH n AS (SELECT DISTINCT doc_id AS node_id FROM parsed_documents UNION SELECT DISTINCT name FROM llm_entities WHERE name IS NOT NULL), e AS (SELECT mention_id AS edge_id, doc_id AS source_id, name AS target_id, evidence FROM llm_entities) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) - count(DISTINCT node_id) FROM n) AS duplicate_nodes, count(*) AS edges, count(*) - count(DISTINCT edge_id) AS duplicate_edges, count(*) FILTER (WHERE source_id IS NULL OR target_id IS NULL OR source_id NOT IN (SELECT node_id FROM n) OR target_id NOT IN (SELECT node_id FROM n)) AS missing_endpoints, count(*) FILTER (WHERE evidence IS NULL) AS missing_evidence, round(count(evidence) / greatest(count(*), 1), 4) AS grounding FROM e")
 def _(spark, sf_dir):
-    return graph.graph_quality(_nodes(spark, sf_dir), _edges(spark, sf_dir).withColumn("evidence", F.col("edge_id")))
+    mentions = load(spark, sf_dir, "llm_entities")
+    nodes = load(spark, sf_dir, "parsed_documents").select(F.col("doc_id").alias("node_id")).unionByName(mentions.where("name IS NOT NULL").select(F.col("name").alias("node_id"))).distinct()
+    edges = mentions.select(F.col("mention_id").alias("edge_id"), F.col("doc_id").alias("source_id"), F.col("name").alias("target_id"), "evidence")
+    return graph.graph_quality(nodes, edges)
 
 
 @_query("a12_merged_nodes", "SELECT name AS node_id, min(name) AS name, count(DISTINCT doc_id) AS documents, count(DISTINCT year(extracted_at)) AS years FROM llm_entities WHERE name IS NOT NULL GROUP BY name")

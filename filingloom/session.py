@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +27,40 @@ def build_session(app: str = "filingloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point reliable checkpoints at the cluster's shared folder.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder for tables that cut lineage.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset (tests, a laptop)
-    is a folder below the warehouse directory used.
+    It is read from ``spark.checkpoint.dir``. Only a local session without that setting (a laptop)
+    gets a folder below its warehouse; a cluster without it is an error, as no folder of one machine
+    will do.
     """
     context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return context.getCheckpointDir()
+
+
+def _folder(spark: SparkSession) -> str:
+    """The session's folder below the shared one; it is deleted when the Python process ends."""
+    root = ensure_checkpoint_dir(spark)
+    if root not in _FOLDERS:
+        _FOLDERS[root] = f"{root}/tables-{uuid4().hex}"
+        atexit.register(_delete, spark, _FOLDERS[root])
+    return _FOLDERS[root]
+
+
+_FOLDERS: dict[str, str] = {}
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session has ended before; the folder is left to its owner
+        pass
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -45,7 +70,6 @@ def materialise(df: DataFrame) -> DataFrame:
     column by column, so that later steps read only what they use.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
+    path = f"{_folder(spark)}/table-{uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
