@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filingloom.operators import documents, facts, nested, retrieval, search, structure, tables
+from filingloom.operators import classify, documents, facts, nested, retrieval, search, structure, tables
 from filingloom.plans.reference_queries import _OBS, _TRUST, _obs, _query
 from filingloom.streaming import windows
 from filingloom.tables import load
@@ -397,3 +397,99 @@ p AS (SELECT edge_id AS path_id, an || ' -[' || k || ']-> ' || bn AS summary, h1
 SELECT path_id, summary, round(least(1.0, CASE WHEN length = 1 THEN 0.2 + hits / 2 * 0.6 ELSE 0.15 + hits / 2 * 0.5 END + bonus), 4) AS score, length FROM p WHERE hits > 0 OR bonus > 0 ORDER BY score DESC, path_id LIMIT 10""")
 def _(spark, sf_dir):
     return search.graph_search(*_filing_graph(spark, sf_dir), "supplier risk", 10)
+
+
+def _contains_sql(text: str, words) -> str:
+    quote = "''"
+    return "(" + " OR ".join(f"contains({text}, '{w.replace(chr(39), quote)}')" for w in words) + ")"
+
+
+def _kind_sql() -> str:
+    norm = r"""trim(regexp_replace(translate(lower({}), '’“”–', '''""-'), '\s+', ' ', 'g'))"""
+    named = {c: "CASE " + " ".join(f"WHEN {_contains_sql(c, words)} THEN '{kind}'" for kind, words in classify.STATEMENT_TITLES) + " END" for c in ("t", "md")}
+    counts = ", ".join("(" + " + ".join(f"contains(c, '{cue}')::INT" for cue in cues) + f") AS n_{kind}" for kind, cues in classify.ROW_CUES.items())
+    cells = "array_to_string(list_transform(list_filter(list_slice(coalesce(rows, []), 1, 40), lambda r: len(r) > 0), lambda r: coalesce(r[1], '')), ' ')"
+    return f"""
+WITH x AS (SELECT id, {norm.format("coalesce(title, '')")} AS t, {norm.format("coalesce(raw_markdown, '')")} AS md, headers, rows FROM parsed_tables),
+y AS (SELECT id, t, md, {norm.format(f"concat_ws(' ', t, '', '', array_to_string(coalesce(headers, []), ' '), {cells}, md)")} AS c FROM x), z AS (SELECT *, {counts} FROM y), m AS (SELECT *, greatest(n_balance_sheet, n_income_statement, n_cash_flow) AS most FROM z)
+SELECT id, coalesce(CASE WHEN {_contains_sql('t', classify.PROFILE_TITLES)} THEN 'profile_table' WHEN {_contains_sql('t', classify.ANALYSIS_TITLES)} THEN 'analysis_table' WHEN regexp_matches(t, 'notes to|^note\\s+[0-9]+|财务报表附注|^附注\\s*[0-9]+') THEN 'notes_table' WHEN regexp_matches(t, '^item\\s+[0-9]+|^(form 10-k|table of contents|signatures)$') THEN 'other_table' END,
+  CASE WHEN n_cash_flow >= 1 AND n_cash_flow >= most THEN 'cash_flow' WHEN most >= 2 AND n_balance_sheet = most THEN 'balance_sheet' WHEN most >= 2 AND n_income_statement = most THEN 'income_statement' END, {named['t']}, {named['md']}, 'notes_table') AS kind FROM m"""
+
+
+@_query("c20_table_kinds", _kind_sql())
+def _(spark, sf_dir):
+    return classify.table_kind(load(spark, sf_dir, "parsed_tables"))
+
+
+@_query("c13_strict_numbers", r"WITH c AS (SELECT id, row_no, unnest(range(0, len(r)))::INTEGER AS cell_no, unnest(r) AS cell FROM (SELECT id, unnest(range(0, len(rows)))::INTEGER AS row_no, unnest(rows) AS r FROM parsed_tables)), n AS (SELECT *, trim(replace(replace(regexp_replace(trim(cell), '[,$%)]', '', 'g'), '(', '-'), '?', '')) AS k FROM c) SELECT id, row_no, cell_no, CAST(k AS DOUBLE) AS number FROM n WHERE regexp_full_match(k, '-?[0-9]+(?:\.[0-9]+)?')")
+def _(spark, sf_dir):
+    cells = load(spark, sf_dir, "parsed_tables").select("id", F.posexplode("rows").alias("row_no", "r")).select("id", "row_no", F.posexplode("r").alias("cell_no", "cell"))
+    return cells.select("id", "row_no", "cell_no", classify.strict_number(F.col("cell")).alias("number")).where("number IS NOT NULL")
+
+
+@_query("c17_split_rows")
+def _(spark, sf_dir):
+    return classify.split_rows(load(spark, sf_dir, "parsed_tables"))
+
+
+_NOTES = "n AS (SELECT doc_id, segment_id AS note_id, metadata.page_start AS s, metadata.page_end AS e FROM langqi_restatement_segments WHERE metadata.section_type = 'financial_note' AND metadata.page_start IS NOT NULL)"
+
+
+@_query("j7_note_sections", f"WITH {_NOTES}, r AS (SELECT t.doc_id, t.id AS table_id, note_id, CASE WHEN s <= page AND page <= e THEN 1 WHEN s <= page AND page - s <= 8 THEN 2 WHEN s > page AND s - page <= 2 AND lower(trim(coalesce(title, ''))) IN ('', 'notes to consolidated financial statements', 'notes to financial statements') THEN 3 END AS tier, s, e, page FROM parsed_tables t JOIN n USING (doc_id) WHERE page IS NOT NULL) SELECT doc_id, table_id, note_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, table_id ORDER BY tier, CASE tier WHEN 1 THEN e - s WHEN 2 THEN page - s ELSE s - page END, note_id) AS place FROM r WHERE tier IS NOT NULL) WHERE place = 1")
+def _(spark, sf_dir):
+    notes = _segments(spark, sf_dir).where("metadata.section_type = 'financial_note'").select("doc_id", F.col("segment_id").alias("note_id"), F.col("metadata.page_start").alias("page_start"), F.col("metadata.page_end").alias("page_end"), F.lit(None).cast("int").alias("anchor_order"))
+    items = load(spark, sf_dir, "parsed_tables").select("doc_id", F.col("id").alias("table_id"), "page", F.lit(None).cast("int").alias("order"), "title", F.lit(1).alias("blocks_on_page"))
+    return classify.note_sections(items, notes)
+
+
+@_query("j8_statement_sections", "WITH s AS (SELECT doc_id, segment_id, metadata.page_start AS lo, metadata.page_end AS hi FROM langqi_restatement_segments WHERE metadata.section_type = 'financial_statement') SELECT t.doc_id, t.id AS item_id, t.page, (SELECT arg_min(segment_id, (hi - lo, segment_id)) FROM s WHERE s.doc_id = t.doc_id AND t.page BETWEEN lo AND hi) AS range_id FROM parsed_tables t")
+def _(spark, sf_dir):
+    items = load(spark, sf_dir, "parsed_tables").select("doc_id", F.col("id").alias("item_id"), "page")
+    ranges = _segments(spark, sf_dir).where("metadata.section_type = 'financial_statement'").select("doc_id", F.col("segment_id").alias("range_id"), F.col("metadata.page_start").alias("lo"), F.col("metadata.page_end").alias("hi"))
+    return documents.narrowest_range(items, ranges)
+
+
+@_query("w7_without_contents")
+def _(spark, sf_dir):
+    blocks = nested.payload_table(load(spark, sf_dir, "parsed_documents"), "page_blocks")
+    return classify.without_contents(blocks.select(F.col("root_key").alias("doc_id"), "block_id", F.coalesce("order", "list_position").alias("order"), "block_type", "text"))
+
+
+@_query("a23_document_checks", "WITH d AS (SELECT document_id, count(*) AS facts, count(DISTINCT metric_key) AS metrics, string_agg(DISTINCT metric_key, ',' ORDER BY metric_key) AS names FROM metric_observations GROUP BY 1) SELECT document_id, 'metric_fact_count' AS name, facts >= 20 AS passed FROM d UNION ALL SELECT document_id, 'metric_count', metrics <= 15 FROM d UNION ALL SELECT document_id, 'required_metrics', list_contains(string_split(names, ','), 'revenue') AND list_contains(string_split(names, ','), 'net_income') FROM d")
+def _(spark, sf_dir):
+    docs = load(spark, sf_dir, "metric_observations").groupBy("document_id").agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("metric_key").alias("metrics"), F.array_join(F.array_sort(F.collect_set("metric_key")), ",").alias("names"))
+    rules = (("metric_fact_count", "min", "20", "facts"), ("metric_count", "max", "15", "metrics"), ("required_metrics", "subset", "revenue,net_income", "names"))
+    rows = docs.select("document_id", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(r).alias("rule"), F.lit(e).alias("expected"), F.col(a).cast("string").alias("actual")) for n, r, e, a in rules))).alias("c")).select("document_id", "c.*")
+    return classify.checks(rows).select("document_id", "name", "passed")
+
+
+@_query("a31_parse_confidence", "WITH t AS (SELECT doc_id, count(*) AS tables FROM parsed_tables GROUP BY 1), s AS (SELECT doc_id, avg((length(trim(content)) > 0)::INT) AS coverage FROM langqi_restatement_segments GROUP BY 1) SELECT doc_id, CAST(round(greatest(0.2, least(0.84 + least(coalesce(tables, 0), 3) * 0.02 + greatest(coalesce(coverage, 0) - 0.5, 0) * 0.1, 0.98)), 3) AS DOUBLE) AS confidence FROM parsed_documents LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)")
+def _(spark, sf_dir):
+    counted = load(spark, sf_dir, "parsed_tables").groupBy("doc_id").agg(F.count(F.lit(1)).alias("tables"))
+    covered = _segments(spark, sf_dir).groupBy("doc_id").agg(F.avg((F.length(F.trim("content")) > 0).cast("int")).alias("coverage"))
+    rows = load(spark, sf_dir, "parsed_documents").select("doc_id").join(counted, "doc_id", "left").join(covered, "doc_id", "left")
+    return rows.select("doc_id", classify.parse_confidence(F.lit("table_pdf"), F.coalesce("coverage", F.lit(0.0)), F.coalesce("tables", F.lit(0)), F.lit(0)).alias("confidence"))
+
+
+@_query("f6_period_matches", "SELECT observation_id FROM metric_observations WHERE coalesce(period, '') = '2020' OR coalesce(CAST(period_year AS VARCHAR), '') = '2020'")
+def _(spark, sf_dir):
+    return load(spark, sf_dir, "metric_observations").where(classify.period_matches("2020", F.col("period"), F.col("period_year"))).select("observation_id")
+
+
+@_query("f5_requested_documents", "WITH w AS (SELECT DISTINCT document_id FROM conflict_candidates WHERE document_id IS NOT NULL) SELECT document_id, document_id IN (SELECT document_id FROM metric_observations WHERE document_id IS NOT NULL) AS found FROM w")
+def _(spark, sf_dir):
+    """The filings that conflict candidates name, and whether any fact of them is stored."""
+    obs, wanted = load(spark, sf_dir, "metric_observations"), load(spark, sf_dir, "conflict_candidates").select("document_id")
+    kept, missing = classify.requested(obs, wanted)
+    return kept.select("document_id").distinct().withColumn("found", F.lit(True)).unionByName(missing.withColumn("found", F.lit(False)))
+
+
+@_query("f12_enriched_facts", f"WITH {_OBS} SELECT observation_id, is_grounded AS source_grounded, has_provenance FROM obs")
+def _(spark, sf_dir):
+    return _obs(spark, sf_dir).select("observation_id", F.col("is_grounded").alias("source_grounded"), "has_provenance")
+
+
+@_query("f15_segment_payloads", "SELECT segment_id, doc_id AS document_id, position, content, len(coalesce(keywords, []))::INTEGER AS n_keywords, metadata.section_type AS section_type FROM langqi_restatement_segments")
+def _(spark, sf_dir):
+    """Payloads of the vector store; the text embedded is the content, as segments carry no summary."""
+    return _segments(spark, sf_dir).select("segment_id", F.col("doc_id").alias("document_id"), "position", "content", F.size(F.coalesce("keywords", F.array().cast("array<string>"))).alias("n_keywords"), F.col("metadata.section_type").alias("section_type"))

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Extensions the router knows and the scan each belongs to.
-ROUTES = {"txt": "text", "text": "text", "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "json": "json", "jsonl": "jsonl"}
+ROUTES = {"txt": "text", "text": "text", "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "json": "json", "jsonl": "jsonl", "docx": "office", "pptx": "office", "xlsx": "office", "xlsm": "office"}
 
 
 def route(path: str) -> str:
@@ -120,3 +120,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, session_id: str | No
     rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     rows = rows.where("_bad IS NULL").drop("_bad")
     return rows if session_id is None else rows.where(F.coalesce(*(F.col(c) for c in ("sessionId", "session_id") if c in rows.columns)) == session_id)
+
+
+def newest_first(rows: DataFrame, time: str, key: str, offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of rows, the newest first (ties: the larger key); rows without a time come last."""
+    return rows.orderBy(F.col(time).desc_nulls_last(), F.col(key).desc()).offset(offset).limit(limit)
+
+
+def read_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON reports ``(path, modified, report)`` below a folder; files that are no JSON object are left out.
+
+    Reports are small; each is read whole by the task that lists it.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
+    text = F.decode("content", "UTF-8")
+    rows = files.select("path", F.col("modificationTime").alias("modified"), text.alias("text")).where(F.ltrim("text").startswith("{"))
+    parsed = rows.select("path", "modified", F.from_json("text", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("report"))
+    return parsed.where("report IS NOT NULL AND report._bad IS NULL").select("path", "modified", F.col("report").dropFields("_bad").alias("report"))
+
+
+def latest_report(reports: DataFrame, key: Column) -> DataFrame:
+    """The newest report of each key (ties: the larger path)."""
+    best = F.max(F.struct("modified", "path", "report")).alias("b")
+    return reports.groupBy(key.alias("key")).agg(best).select("key", "b.path", "b.modified", "b.report")
