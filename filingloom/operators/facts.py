@@ -244,3 +244,14 @@ def global_place(rows: DataFrame, *order: str) -> DataFrame:
     before = sizes.select("_part", (F.sum("held").over(Window.orderBy("_part")) - F.col("held")).alias("before"))  # one row a range
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.join(F.broadcast(before), "_part").withColumn("place", within + F.col("before")).drop("_part", "before")
+
+
+def first_value_growth(obs: DataFrame) -> DataFrame:
+    """Growth per company and metric by the first observation of every year, without resolving conflicts.
+
+    ``rivals`` counts the further values of a year; more than none is a warning.
+    """
+    rows = obs.where("number IS NOT NULL AND year IS NOT NULL AND company_id IS NOT NULL")
+    first = F.min(F.struct("observation_id", "number")).alias("f")
+    points = rows.groupBy("company_id", "metric_key", "year").agg(first, (F.countDistinct("number") - 1).alias("rivals")).select("company_id", "metric_key", "year", F.col("f.number").alias("value"), "rivals")
+    return growth(points, ["company_id", "metric_key"]).drop("previous")

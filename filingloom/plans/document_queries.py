@@ -493,3 +493,37 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Payloads of the vector store; the text embedded is the content, as segments carry no summary."""
     return _segments(spark, sf_dir).select("segment_id", F.col("doc_id").alias("document_id"), "position", "content", F.size(F.coalesce("keywords", F.array().cast("array<string>"))).alias("n_keywords"), F.col("metadata.section_type").alias("section_type"))
+
+
+@_query("r5_first_value_growth", f"WITH {_OBS}, p AS (SELECT company_id, metric_key, year, arg_min(number, observation_id) AS value, count(DISTINCT number) - 1 AS rivals FROM obs WHERE number IS NOT NULL AND year IS NOT NULL AND company_id IS NOT NULL GROUP BY 1, 2, 3), l AS (SELECT *, lag(value) OVER (PARTITION BY company_id, metric_key ORDER BY year) AS previous FROM p) SELECT company_id, metric_key, year, value, rivals, CASE WHEN previous <> 0 THEN round((value - previous) / abs(previous), 6) END AS yoy FROM l")
+def _(spark, sf_dir):
+    return facts.first_value_growth(_obs(spark, sf_dir))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct evidence sentence, read as a question."""
+    return load(spark, sf_dir, "llm_entities").where("evidence IS NOT NULL AND trim(evidence) <> ''").select(F.col("evidence").alias("question")).distinct()
+
+
+@_query("c5_query_expansion")
+def _(spark, sf_dir):
+    return _questions(spark, sf_dir).select("question", F.posexplode(documents.expand_query(F.col("question"))).alias("seed_no", "seed"))
+
+
+@_query("c7_question_analysis")
+def _(spark, sf_dir):
+    return tables.analyze(_questions(spark, sf_dir)).select("question", "intent", F.array_join("routes", ",").alias("routes"), F.array_join("metric_keys", ",").alias("metric_keys"), F.array_join(F.col("years").cast("array<string>"), ",").alias("years"), "needs_growth")
+
+
+@_query("f16_scope_guard")
+def _(spark, sf_dir):
+    """Sentences that name a company other than the one with most observations."""
+    entities = load(spark, sf_dir, "resolved_entities")
+    aliases = entities.select(F.col("entity_id").alias("company_id"), F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias")).where("alias IS NOT NULL").distinct()
+    own = load(spark, sf_dir, "metric_observations").where("company_id IS NOT NULL").groupBy("company_id").count().orderBy(F.col("count").desc(), "company_id").first()
+    return tables.foreign_company(_questions(spark, sf_dir), aliases, own["company_id"] if own else "")
+
+
+@_query("c30_keywords")
+def _(spark, sf_dir):
+    return _segments(spark, sf_dir).where("content IS NOT NULL").select("segment_id", F.array_join(retrieval.keywords(F.col("content")), ",").alias("keywords"))
