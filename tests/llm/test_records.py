@@ -191,3 +191,32 @@ def test_bound_before_scoring_loses_no_link(spark):
     df = spark.createDataFrame(rows, f"a string, b string, x {kind}, y {kind}").withColumn("ok", names._possible("x", "y"))
     lost = [(r.a, r.b) for r in df.collect() if not r.ok and names.similarity(parsed[r.a], parsed[r.b], {}, {}) >= names.THRESHOLD]
     assert lost == [] and df.where("ok").count() < df.count() / 2
+
+
+def test_bands_reach_the_links_of_brute_force(spark):
+    """Of all pairs of spellings the similarity accepts, found by comparing everything, nearly all share a band."""
+    from pathlib import Path
+
+    data = Path("/root/testdata/sf0.001/resolved_entities.parquet")
+    if not data.exists():
+        pytest.skip("no test tables")
+    rows = spark.read.parquet(str(data)).select("canonical_name", "aliases").limit(400).collect()
+    spelled = sorted({n for r in rows for n in [r.canonical_name, *(r.aliases or [])] if n})
+    parsed = [(n, p) for n in spelled if (p := names.normalise(n))[0]]
+    bands = names.bands_needed()
+    keys = {n: {k for form in names.forms_of(p) for k in names.band_keys(form, bands, names.ROWS)} for n, p in parsed}
+    first = {}
+    for n, p in parsed:  # pairs that share a word or its first letters cover what the similarity can accept
+        for token in p[1]:
+            first.setdefault((p[0], token[:1]), []).append((n, p))
+    seen, linked, met = set(), 0, 0
+    for group in first.values():
+        for i, (a, x) in enumerate(group):
+            for b, y in group[i + 1 :]:
+                if (a, b) in seen or a == b:
+                    continue
+                seen.add((a, b))
+                if names.similarity(x, y, {}, {}) >= names.THRESHOLD:
+                    linked += 1
+                    met += bool(keys[a] & keys[b])
+    assert linked > 100 and met / linked >= 0.9, (linked, met)
