@@ -178,6 +178,44 @@ def without_contents(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").applyInPandas(fold, "doc_id string, block_id string")
 
 
+#: Titles that open a major section.
+MAJOR_TITLE = r"^(?:第[一二三四五六七八九十百千零〇\d]+[章节篇部]|(?:合并|母公司)?(?:资产负债表|利润表|现金流量表)|管理层讨论与分析|审计报告)"
+
+
+def merge_adjacent(candidates: DataFrame) -> DataFrame:
+    """Neighbouring candidates of a document that are one section, folded into the first of them.
+
+    ``candidates (doc_id, position, title, kind, page_start, page_end, confidence)`` to ``(doc_id, position, title, kind,
+    page_start, page_end, confidence, merged)``. A candidate joins the one kept last if both have its kind and
+    title, or its kind alone, with at most a page between them and no major title of its own. The
+    confidence is the greater; a shorter major title takes the place of a longer one. Without pages on
+    either side the gap is unknown and the titles must agree. A group is one document.
+    """
+    major = re.compile(MAJOR_TITLE)
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        kept: list[dict] = []
+        for row in group.sort_values("position").to_dict("records"):
+            row = {k: None if pd.isna(v) else v for k, v in row.items()} | {"merged": 1}
+            last = kept[-1] if kept else None
+            opens = major.match((row["title"] or "").strip()) is not None
+            near = last is not None and last["page_end"] is not None and row["page_start"] is not None and row["page_start"] - last["page_end"] <= 1
+            if last is not None and row["kind"] == last["kind"] and (row["title"] == last["title"] or near and not opens):
+                last["merged"] += 1
+                last["confidence"] = max((c for c in (last["confidence"], row["confidence"]) if c is not None), default=None)
+                for side, choose in (("page_start", min), ("page_end", max)):
+                    last[side] = choose((x for x in (last[side], row[side]) if x is not None), default=None)
+                if opens and len(row["title"]) < len(last["title"] or ""):
+                    last["title"] = row["title"]
+            else:
+                kept.append(row)
+        frame = pd.DataFrame(kept, columns=["doc_id", "position", "title", "kind", "page_start", "page_end", "confidence", "merged"])
+        return frame.astype({"page_start": "Int32", "page_end": "Int32"})
+
+    rows = candidates.where("doc_id IS NOT NULL").select("doc_id", "position", "title", "kind", "page_start", "page_end", "confidence")
+    return rows.groupBy("doc_id").applyInPandas(fold, "doc_id string, position int, title string, kind string, page_start int, page_end int, confidence double, merged int")
+
+
 def checks(expectations: DataFrame) -> DataFrame:
     """Rows ``(name, rule, expected, actual)`` with ``passed``: ``equals``, ``min``, ``max`` and ``subset`` of lists joined by commas.
 

@@ -56,6 +56,18 @@ def test_contents_are_left_out(spark):
     assert got == ["b5", "b6", "b9"]
 
 
+def test_neighbours_of_one_section_are_merged(spark):
+    rows = [
+        ("d", 1, "Risk factors", "risk", 3, 4, 0.5), ("d", 2, "Risk factors", "risk", 9, 9, 0.9), ("d", 3, "More risks", "risk", 10, 11, None), ("d", 4, "第三节 风险", "risk", 12, 12, 0.4), ("d", 5, "Other", "risk", 20, 20, 0.1),
+        ("d", 6, "Notes", "note", None, None, None), ("d", 7, "Notes b", "note", 21, 21, None), ("e", 1, None, None, None, None, None),
+    ]
+    got = classify.merge_adjacent(spark.createDataFrame(rows, "doc_id string, position int, title string, kind string, page_start int, page_end int, confidence double")).collect()
+    assert {(r.doc_id, r.position): (r.title, r.page_start, r.page_end, r.confidence, r.merged) for r in got} == {
+        ("d", 1): ("Risk factors", 3, 11, 0.9, 3), ("d", 4): ("第三节 风险", 12, 12, 0.4, 1), ("d", 5): ("Other", 20, 20, 0.1, 1), ("d", 6): ("Notes", None, None, None, 1), ("d", 7): ("Notes b", 21, 21, None, 1), ("e", 1): (None, None, None, None, 1),
+    }
+    assert classify.merge_adjacent(spark.createDataFrame([], "doc_id string, position int, title string, kind string, page_start int, page_end int, confidence double")).count() == 0
+
+
 def test_checks(spark):
     rows = [("a", "equals", "x", "x", True), ("b", "equals", "x", None, False), ("c", "min", "2", "3", True), ("d", "max", "2", "3", False), ("e", "subset", "p,q", "q,r,p", True), ("f", "subset", "p", None, False), ("g", "min", None, None, True), ("h", "min", "2", "many", False)]
     got = {r.name: r.passed for r in classify.checks(spark.createDataFrame([r[:4] for r in rows], "name string, rule string, expected string, actual string")).collect()}
