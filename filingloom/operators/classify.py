@@ -60,14 +60,19 @@ def table_kind(tables: DataFrame) -> DataFrame:
     def optional(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit("")) if name in tables.columns else F.lit("")
 
-    title, above, nearby, markdown = (normal_text(c) for c in (F.coalesce("title", F.lit("")), optional("section_title"), optional("nearby"), F.coalesce("raw_markdown", F.lit(""))))
+    texts = {"_title": F.coalesce("title", F.lit("")), "_above": optional("section_title"), "_nearby": optional("nearby"), "_markdown": F.coalesce("raw_markdown", F.lit(""))}
+    title, above, nearby, markdown = map(F.col, texts)
     cells = F.transform(F.filter(F.slice(F.coalesce("rows", F.array().cast("array<array<string>>")), 1, 40), lambda r: F.size(r) > 0), lambda r: F.coalesce(F.get(r, F.lit(0)), F.lit("")))
-    content = normal_text(F.concat_ws(" ", title, above, nearby, F.array_join(F.coalesce("headers", F.array().cast("array<string>")), " "), F.array_join(cells, " "), markdown))
+    whole = normal_text(F.concat_ws(" ", title, above, nearby, F.array_join(F.coalesce("headers", F.array().cast("array<string>")), " "), F.array_join(cells, " "), markdown))
+    # normalised once, as columns the many rules share
+    kinds = {"_section_type": optional("section_type"), "_raw_kind": optional("raw_kind")}
+    rows = tables.select("id", "headers", "rows", *(normal_text(c).alias(n) for n, c in texts.items()), *(c.alias(n) for n, c in kinds.items()))
+    rows = rows.select("id", *texts, *kinds, whole.alias("_content")).withColumn("_by_rows", kind_of_rows(F.col("_content")))
     by_title = F.when(_any(title, PROFILE_TITLES), "profile_table").when(_any(title, ANALYSIS_TITLES), "analysis_table").when(title.rlike(NOTE_TITLE), "notes_table").when(title.rlike(OTHER_TITLE), "other_table")
-    by_section = F.when((optional("section_type") == "financial_note") | above.rlike(r"notes to|^note\s+\d+|财务报表附注"), "notes_table")
+    by_section = F.when((F.col("_section_type") == "financial_note") | above.rlike(r"notes to|^note\s+\d+|财务报表附注"), "notes_table")
     around = F.coalesce(*(F.when(_any(above, words) | _any(nearby, words), kind) for kind, words in STATEMENT_TITLES))
-    complex_ = F.when(optional("raw_kind") == "complex_table", "notes_table")
-    return tables.select("id", F.coalesce(by_title, kind_of_rows(content), _named(title), by_section, around, complex_, _named(markdown), F.lit("notes_table")).alias("kind"))
+    complex_ = F.when(F.col("_raw_kind") == "complex_table", "notes_table")
+    return rows.select("id", F.coalesce(by_title, "_by_rows", _named(title), by_section, around, complex_, _named(markdown), F.lit("notes_table")).alias("kind"))
 
 
 def strict_number(text: Column) -> Column:

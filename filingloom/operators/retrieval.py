@@ -74,10 +74,9 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     found = None
     for block in range(blocks):
         rows = probes.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").toPandas()  # about QUERY_BLOCK rows
-        hits = _block_search(vectors, rows, k)
+        hits = block_search(vectors, rows, k)
         found = hits if found is None else found.unionByName(hits)
-    place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    return best_of_block(found, k)
 
 
 #: Queries that meet the vectors at once.
@@ -90,7 +89,13 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
         return vectors / lengths[:, None]
 
 
-def _block_search(vectors: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
+def best_of_block(hits: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best hits of each query with their rank."""
+    place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+
+
+def block_search(vectors: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score): the best ``k`` of every batch of vectors for each query of a block."""
     ids = queries["query_id"].to_numpy()
     probe = _unit(np.array(queries["embedding"].tolist(), dtype="float64").reshape(len(ids), -1)) if len(ids) else np.zeros((0, 1))
@@ -111,7 +116,8 @@ def _block_search(vectors: DataFrame, queries: pd.DataFrame, k: int) -> DataFram
                 out.append(pd.DataFrame({"query_id": np.repeat(ids[start : start + 256], best.shape[1]), "vec_id": keys[best].ravel(), "score": values.ravel()}).dropna())
             yield pd.concat(out)
 
-    return vectors.where("embedding IS NOT NULL").select("vec_id", "embedding").mapInPandas(search, "query_id bigint, vec_id bigint, score double")
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    return vectors.where("embedding IS NOT NULL").select("vec_id", "embedding").mapInPandas(search, f"query_id {kind}, vec_id {kind}, score double")
 
 
 def merge_hits(vector: DataFrame, lexical: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingloom.operators import documents, graph, retrieval
+from filingloom.session import materialise
 
 #: Weights of the score rules and the words they go by.
 SECTION_BOOST, SECTION_MISMATCH, METRIC_MISMATCH, HR_NOISE, NOTE_TABLE = 0.15, 0.12, 0.16, 0.14, 0.12
@@ -83,15 +84,17 @@ def hybrid_retrieve(segments: DataFrame, question: str, k: int = 3, hints: Seque
     spark = segments.sparkSession
     most = max(k, k * multiplier)
     rows = segments.withColumn("content", F.coalesce("content", F.lit("")))
-    vectors = rows.select("segment_id", (F.col(embedding) if embedding else documents.hash_embedding(F.col("content"))).alias("embedding"))
-    tokens = rows.select("segment_id", retrieval.tokenize(F.col("content")).alias("tokens"))
+    # made once for all queries of the call
+    vectors = rows.select("segment_id", F.col(embedding).alias("embedding")) if embedding else materialise(rows.select("segment_id", documents.hash_embedding(F.col("content")).alias("embedding")))
+    tokens = materialise(rows.select("segment_id", retrieval.tokenize(F.col("content")).alias("tokens")))
     probe = spark.range(1).select(F.explode(documents.expand_query(F.lit(question))).alias("q")).select("q", retrieval.tokenize(F.col("q")).alias("terms"), documents.hash_embedding(F.col("q")).alias("probe"))
-    hits = None
-    for query in probe.collect():  # at most four rows
-        vector = vectors.select("segment_id", F.round(retrieval.cosine(F.lit(query.probe), F.col("embedding")), 6).alias("score")).where("score > 0").orderBy(F.col("score").desc(), "segment_id").limit(most)
+    seeds = probe.toPandas()  # at most four rows
+    block = pd.DataFrame({"query_id": [f"\u0001{i}" for i in range(len(seeds))], "embedding": seeds["probe"]})
+    vector = retrieval.best_of_block(retrieval.block_search(vectors.withColumnRenamed("segment_id", "vec_id"), block, most), most).where("score > 0")
+    hits = vector.select(F.col("vec_id").alias("segment_id"), F.col("score").alias("v"), F.lit(0.0).alias("l"))
+    for query in seeds.itertuples():
         lexical = tokens.select("segment_id", F.round(retrieval.bm25_lite(F.col("tokens"), list(query.terms)), 6).alias("score")).where("score > 0").orderBy(F.col("score").desc(), "segment_id").limit(most)
-        both = vector.select("segment_id", F.col("score").alias("v"), F.lit(0.0).alias("l")).unionByName(lexical.select("segment_id", F.lit(0.0).alias("v"), F.col("score").alias("l")))
-        hits = both if hits is None else hits.unionByName(both)
+        hits = hits.unionByName(lexical.select("segment_id", F.lit(0.0).alias("v"), F.col("score").alias("l")))
     merged = hits.groupBy("segment_id").agg((retrieval.VECTOR_WEIGHT * F.max("v") + retrieval.LEXICAL_WEIGHT * F.max("l")).alias("merged"))
     found = rows.join(F.broadcast(merged), "segment_id")  # at most eight times `most` rows
     section = F.col("metadata.section_type") if "metadata" in rows.columns else F.lit(None).cast("string")
