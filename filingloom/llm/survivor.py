@@ -1,22 +1,18 @@
 """One surviving record per group of conflicting candidates (problem 4).
 
-Token-level consensus. Per group and field the distinct values are aligned one after the other,
-best first, to a growing profile of columns (progressive alignment); every column elects a token; the
-existing value closest to the elected text survives, and with it the candidate of the highest rank
-that holds it.
+Two operators, as the project's order leaves nothing to vote on: in it provenance outranks any number
+of agreeing values, and the candidate id tells the last two candidates apart.
 
-How a column elects:
+* ``field_sources``, ``survivors``: per group and field the best candidate that has the field, in that
+  order. It is a maximum, taken in one pass and in any order of rows. No value is aligned here.
+* ``consensus``: token-level consensus, where agreement can outvote a lone candidate. Per group and
+  field the distinct values are aligned one after the other, best first, to a growing profile of
+  columns (progressive alignment); every column elects the token of the largest summed trust; the
+  existing value closest to the elected text survives.
 
-* ``rank`` (``field_sources``, ``survivors``): the token of the highest-ranked candidate wins its column.
-  The rank is the order of the data model, in which provenance outranks any number of agreeing
-  values, so no sum of weights can stand for it. The elected text is then the text of the best
-  candidate that has the field: the alignment cannot change it, and does not have to.
-* ``sum`` (``consensus``): the tokens' summed trust wins, so that agreement can outvote a lone candidate.
-
-Values are first aggregated to one row per group, field and text. No task gets more than about
-``SHARD`` values of a group: larger groups are cut into shards by the hash of the text, the winners
-of the shards meet in the next round, until one is left. For ``rank`` this changes nothing, as a
-maximum may be taken in any order; for ``sum`` a shard's winner carries the votes of its shard.
+For the consensus, values are first aggregated to one row per group, field and text. No task gets more
+than about ``SHARD`` values of a group: larger groups are cut into shards by the hash of the text, the
+winners of the shards meet in the next round with the votes of their shard, until one is left.
 
 Absent is null, blank or one of ``ABSENT``. Null flags count as false, null numbers as 0, a null
 document as the empty text. Rows with a null group key form no group. A group whose field is absent
@@ -27,6 +23,7 @@ apart by their candidate id. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -113,7 +110,10 @@ def _add(profile: list[dict[str, float]], vote: str) -> float | None:
 
 
 def elect(texts: list[str], weights: list[float], vote: str) -> int:
-    """Index of the text closest to the consensus; of equally close ones the first."""
+    """Index of the text closest to the consensus; of equally close ones the first.
+
+    A token's votes are the ``sum`` of its weights, as in ``consensus``, or the largest (``rank``), which no query asks for.
+    """
     if len(texts) == 1:
         return 0
     profile: list[dict[str, float]] = []
@@ -146,13 +146,13 @@ def _values(candidates: DataFrame) -> DataFrame:
     return long.groupBy(*KEYS, "e.field_name", "e.text").agg(F.max("rank").alias("rank"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("support"))
 
 
-def _elected(values: DataFrame, vote: str) -> DataFrame:
-    """The surviving value of every group and field, elected in rounds of bounded shards."""
+def _elected(values: DataFrame) -> DataFrame:
+    """The value elected by trust of every group and field, in rounds of bounded shards."""
     keys = [*KEYS, "field_name"]
 
     @F.pandas_udf("int")
     def closest(texts: pd.Series, weights: pd.Series) -> pd.Series:
-        return pd.Series([elect(list(t), [float(w) for w in ws], vote) for t, ws in zip(texts, weights)], dtype="int32")
+        return pd.Series([elect(list(t), [float(w) for w in ws], "sum") for t, ws in zip(texts, weights)], dtype="int32")
 
     while True:
         values = materialise(values)
@@ -163,12 +163,10 @@ def _elected(values: DataFrame, vote: str) -> DataFrame:
         joined = (values.join(sizes, keys) if large else values).withColumn("shard", shard)
         ordered = F.sort_array(F.collect_list(F.struct("rank", "text", "weight", "support")), asc=False)
         grouped = joined.groupBy(*keys, "shard").agg(ordered.alias("v"))
-        size = F.size("v")
-        # the better rank the heavier: places from the end; one value alone needs no vote
-        weights = F.transform("v", lambda x, i: (size - i).cast("double")) if vote == "rank" else F.transform("v", lambda x: x["weight"])
-        best = F.when(size > 1, closest(F.transform("v", lambda x: x["text"]), weights)).otherwise(0)
+        # one value alone needs no vote
+        best = F.when(F.size("v") > 1, closest(F.transform("v", lambda x: x["text"]), F.transform("v", lambda x: x["weight"]))).otherwise(0)
         chosen = grouped.withColumn("best", best).withColumn("w", F.get("v", F.col("best")))
-        carried = F.aggregate("v", F.lit(0.0), lambda t, x: t + x["weight"]) if vote == "sum" else F.col("w.weight")
+        carried = F.aggregate("v", F.lit(0.0), lambda t, x: t + x["weight"])
         rows = chosen.select(*keys, "w.text", "w.rank", carried.alias("weight"), "w.support")
         if not large:
             return rows
@@ -179,21 +177,27 @@ def _groups(candidates: DataFrame) -> DataFrame:
     return _grouped(candidates).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("candidates")).where("candidates >= 2")
 
 
+def _best(candidates: DataFrame, carried: Callable[[str], Column]) -> DataFrame:
+    """One row per group of two or more: its size and, per field, what its best candidate carries."""
+    ranked = _grouped(candidates).select(*KEYS, *FIELDS, _rank().alias("rank"))
+    best = (F.max(F.when(present(f), carried(f))).alias(f) for f in FIELDS)
+    return ranked.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("candidates"), *best).where("candidates >= 2")
+
+
 def field_sources(candidates: DataFrame) -> DataFrame:
     """The survivors in long form: one row per group and field that any candidate has."""
-    best = _elected(_values(candidates), "rank").join(_groups(candidates), list(KEYS))
-    return best.select(*KEYS, "field_name", F.col("rank.candidate_id").alias("candidate_id"))
+    best = _best(candidates, lambda f: F.col("rank"))
+    entries = F.array(*(F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field_name"), F.col(f"{f}.candidate_id").alias("candidate_id"))) for f in FIELDS))
+    return best.select(*KEYS, F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select(*KEYS, "e.field_name", "e.candidate_id")
 
 
 def survivors(candidates: DataFrame) -> DataFrame:
     """One record per group: each field with the candidate that supplies it."""
-    best = _elected(_values(candidates), "rank")
-    columns = [F.max(F.when(F.col("field_name") == f, F.struct("text", F.col("rank.candidate_id").alias("source")))).alias(f) for f in FIELDS]
-    wide = _groups(candidates).join(best.groupBy(*KEYS).agg(*columns), list(KEYS), "left")
-    return wide.select(*KEYS, "candidates", *(c for f in FIELDS for c in (F.col(f"{f}.text").alias(f), F.col(f"{f}.source").alias(f"{f}_from"))))
+    best = _best(candidates, lambda f: F.struct("rank", F.col(f).alias("text")))
+    return best.select(*KEYS, "candidates", *(c for f in FIELDS for c in (F.col(f"{f}.text").alias(f), F.col(f"{f}.rank.candidate_id").alias(f"{f}_from"))))
 
 
 def consensus(candidates: DataFrame) -> DataFrame:
     """Per group and field the existing value closest to the vote weighted by trust."""
-    best = _elected(_values(candidates), "sum").join(_groups(candidates), list(KEYS))
+    best = _elected(_values(candidates)).join(_groups(candidates), list(KEYS))
     return best.select(*KEYS, "field_name", F.trim("text").alias("consensus"), "support", "candidates")

@@ -48,6 +48,47 @@ def test_groups_larger_than_a_shard(spark):
     assert got["value"] == max(rows, key=order)[0] and got["unit"] == max((r for r in rows if r[5] in ("kg", "t")), key=order)[0] and "currency" not in got
 
 
+def _found_and_sql(spark, rows, folder, name):
+    import duckdb
+
+    import __spark_entry__ as contract
+
+    _candidates(spark, rows).write.parquet(f"{folder}/conflict_candidates.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conflict_candidates AS SELECT * FROM read_parquet('{folder}/conflict_candidates.parquet/*.parquet')")
+    want = con.execute(contract.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    found = contract.queries()[name](spark, str(folder))
+    return sorted(map(repr, (tuple(r[c] for c in columns) for r in found.collect()))), sorted(map(repr, want.fetchall())), found
+
+
+@pytest.mark.parametrize("name", ["p4_found", "p4_records"])
+def test_survivors_come_from_the_order_alone(spark, tmp_path, name):
+    """A value without a token, which a vote would pass over, survives; nothing is aligned, rows are grouped once."""
+    pytest.importorskip("duckdb")
+
+    def row(i, value, year, period, unit="kg"):
+        return (i, "c", "m", period, value, unit, None, "d", year, True, True, "text", 1, None, None)
+
+    odd = ["\u2003", "\u0085", "\x1f"]
+    rows = [row(10 * k + j, value, 2020 - j, f"p{k}") for k, first in enumerate(odd) for j, value in enumerate([first, "10", "10", "11"])]
+    rows += [row(90, None, 2020, "void", None), row(91, "-", 2021, "void", "n/a"), row(92, "1", 2020, "single")]
+    got, want, found = _found_and_sql(spark, rows, tmp_path, name)
+    assert got == want and any("\\u2003" in r for r in got) == (name == "p4_records")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan and "Join" not in plan and plan.count("Aggregate [") == 1
+
+
+def test_consensus_of_a_group_larger_than_a_shard(spark):
+    """Votes are carried from shard to shard: many agreeing candidates outvote the best one, and all lone ones."""
+    rng = np.random.default_rng(7)
+    values = ["1,250"] * 300 + [str(int(v)) for v in rng.integers(10**5, 10**6, 200)]
+    rows = [(i, "hot", "m", "p", v, None, None, "d", None, False, False, None, None, None, None) for i, v in enumerate(values)] + [(999, "hot", "m", "p", "7", None, None, "d", 2030, True, True, None, None, None, None)]
+    row = survivor.consensus(_candidates(spark, rows)).where("field_name = 'value'").first()
+    assert (row.consensus, row.support, row.candidates) == ("1,250", 300, 501)
+    assert {r.field_name: r.candidate_id for r in survivor.field_sources(_candidates(spark, rows)).collect()} == {"value": 999}
+
+
 def test_packing_respects_capacity():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 101, 3000).tolist()
