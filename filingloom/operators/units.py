@@ -70,7 +70,6 @@ PHYSICAL = {
 }
 #: Templates of a scale and a currency named together; blanks do not count.
 TEMPLATES = ("{c}{s}", "{s}{c}", "{s}of{c}", "in{s}of{c}", "in{s}{c}", "in{c}{s}", "{c}in{s}", "单位:{s}{c}", "单位:{s}币种:{c}", "{c}({s})")
-ALIAS_SCHEMA = "alias string, currency string, dimension string, base string, factor double"
 
 
 def _key(text: str) -> str:
@@ -108,6 +107,16 @@ def alias_rows() -> list[tuple]:
     return [(alias, *meaning) for alias, meaning in rows.items()]
 
 
+def alias_index(rows: list[tuple]) -> dict[str, list[int]]:
+    """Positions of the aliases that hold a trigram, cut as ``_trigrams`` cuts the spellings."""
+    index: dict[str, list[int]] = {}
+    for i, (alias, *_) in enumerate(rows):
+        padded = f"\u0002\u0002{alias}\u0003\u0003"
+        for gram in dict.fromkeys(padded[k : k + 3] for k in range(len(padded) - 2)):
+            index.setdefault(gram, []).append(i)
+    return index
+
+
 def phrase_key(text: Column) -> Column:
     """Comparable form of a unit spelling: folded, lower case, no blanks; null where empty."""
     folded = F.regexp_replace(F.lower(full_fold(text)), r"\s+", "")
@@ -162,16 +171,20 @@ def alias_dictionary(spark: SparkSession, spellings: DataFrame) -> DataFrame:
 
     column = spellings.columns[0]
     distinct = spellings.select(F.col(column).alias("spelling")).where("spelling IS NOT NULL").distinct()
-    aliases = local_table(spark, alias_rows(), ALIAS_SCHEMA)
-    postings = aliases.select("alias", F.explode(_trigrams(F.col("alias"))).alias("gram"))
-    rarity = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("found"))
+    known = alias_rows()
+    numbers = {meaning: i for i, meaning in enumerate(dict.fromkeys(row[1:] for row in known), 1)}
+    aliases = local_table(spark, [(i, row[0], numbers[row[1:]]) for i, row in enumerate(known)], "id int, alias string, meaning int")
+    meanings = local_table(spark, [(i, *meaning) for meaning, i in numbers.items()], "meaning int, currency string, dimension string, base string, factor double")
+    # a row a trigram, not a row a posting: the index is built and held by the driver
+    index = local_table(spark, [(gram, len(ids), ids) for gram, ids in alias_index(known).items()], "gram string, found int, ids array<int>")
     # an edit changes at most 3 trigrams, a swap of neighbours 4: of the 4 d + 1 rarest of a spelling,
     # an alias within d edits has at least one
     grams = distinct.select("spelling", F.explode(_trigrams(F.col("spelling"))).alias("gram"))
-    ranked = grams.join(F.broadcast(rarity), "gram", "left").groupBy("spelling").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("found", F.lit(0)).alias("found"), "gram"))).alias("grams"))
+    ranked = grams.join(F.broadcast(index.select("gram", "found")), "gram", "left").groupBy("spelling").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("found", F.lit(0)).alias("found"), "gram"))).alias("grams"))
     probes = ranked.select("spelling", F.explode(F.slice("grams", 1, (_most_allowed(F.length("spelling")) * 4 + 1).cast("int"))).alias("probe")).where("probe.found > 0").select("spelling", F.col("probe.gram").alias("gram"))
     near = F.abs(F.length("alias") - F.length("spelling")) <= _allowed(F.length("alias"))
-    candidates = probes.join(F.broadcast(postings), "gram").where(near).select("spelling", "alias").distinct()
+    posted = probes.join(F.broadcast(index.select("gram", "ids")), "gram").select("spelling", F.explode("ids").alias("id"))
+    candidates = posted.join(F.broadcast(aliases), "id").where(near).select("spelling", "alias", "meaning").distinct()
     # neighbours swapped are two plain edits: a bound that needs no Python
     candidates = candidates.where(F.levenshtein("spelling", "alias") <= 2 * _allowed(F.length("alias")))
 
@@ -181,11 +194,10 @@ def alias_dictionary(spark: SparkSession, spellings: DataFrame) -> DataFrame:
 
     distance = distance.asNondeterministic()  # else the filter below makes it run twice
     verified = candidates.withColumn("distance", distance("spelling", "alias")).where(F.col("distance") <= _allowed(F.length("alias")))
-    meant = verified.join(F.broadcast(aliases), "alias").select("spelling", "distance", "alias", F.struct("currency", "dimension", "base", "factor").alias("meaning"))
     # nearest first; of the aliases at the same distance all must mean the same
-    nearest = meant.groupBy("spelling", "distance").agg(F.min("meaning").alias("meaning"), F.min(F.to_json("meaning")).alias("low"), F.max(F.to_json("meaning")).alias("high"))
-    best = nearest.groupBy("spelling").agg(F.min_by(F.struct("meaning", (F.col("low") == F.col("high")).alias("agreed")), "distance").alias("b")).where("b.agreed")
-    return best.select("spelling", "b.meaning.currency", "b.meaning.dimension", "b.meaning.base", "b.meaning.factor")
+    ends = verified.groupBy("spelling").agg(F.min(F.struct("distance", "meaning")).alias("low"), F.min(F.struct("distance", (-F.col("meaning")).alias("meaning"))).alias("high"))
+    agreed = ends.where(F.col("low.meaning") == -F.col("high.meaning")).select("spelling", F.col("low.meaning").alias("meaning"))
+    return agreed.join(F.broadcast(meanings), "meaning").select("spelling", "currency", "dimension", "base", "factor")
 
 
 #: A number: grouped or plain digits with an optional fraction.
@@ -305,9 +317,12 @@ def equal_amounts(converted: DataFrame) -> DataFrame:
     rows = converted.where("amount IS NOT NULL AND document_id IS NOT NULL AND metric_key IS NOT NULL AND period IS NOT NULL")
     size = F.floor(F.log(F.abs("amount")) / _BIN)
     rows = rows.select("observation_id", "document_id", "metric_key", "period", "dimension", "unit_key", "amount", F.when(F.col("amount") == 0, F.lit(-(10**9))).otherwise(size).cast("long").alias("bin"))
+    # both sides of the join read these rows: written once, else the plan holds the whole conversion twice
+    rows = materialise(rows)
     keys = ["document_id", "metric_key", "period", "dimension", "bin"]
     left = rows.select(*keys, F.col("observation_id").alias("a"), F.col("unit_key").alias("unit_a"), F.col("amount").alias("amount_a"))
     right = rows.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))).select(*keys, F.col("observation_id").alias("b"), F.col("unit_key").alias("unit_b"), F.col("amount").alias("amount_b"))
     close = F.abs(F.col("amount_a") - F.col("amount_b")) <= TOLERANCE * F.greatest(F.abs("amount_a"), F.abs("amount_b"))
-    pairs = left.join(right, keys).where((F.col("a") < F.col("b")) & (F.col("unit_a") != F.col("unit_b")) & close)
+    # its compressed size would pass for small enough to broadcast
+    pairs = left.hint("merge").join(right, keys).where((F.col("a") < F.col("b")) & (F.col("unit_a") != F.col("unit_b")) & close)
     return pairs.select(F.col("a").alias("observation_id_a"), F.col("b").alias("observation_id_b"))

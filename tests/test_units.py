@@ -89,3 +89,43 @@ def test_every_swap_and_loss_in_long_aliases_against_brute_force(spark):
 
 def test_spellings_between_two_meanings_say_nothing(spark):
     assert _mapped(spark, ["illion", "zillion", "million", None]) == {"million": (None, "money", None, 1e6)}
+
+
+def _nodes(plan):
+    """The nodes of an executed plan, through its adaptive stages."""
+    kind = plan.nodeName()
+    yield kind, plan
+    if kind == "AdaptiveSparkPlan":
+        below = [plan.executedPlan()]
+    elif kind.endswith("QueryStage"):
+        below = [plan.plan()]
+    else:
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+    for node in below:
+        yield from _nodes(node)
+
+
+def _ran(df):
+    rows = df.collect()
+    return rows, list(_nodes(df._jdf.queryExecution().executedPlan()))
+
+
+def test_dictionary_broadcasts_no_row_a_posting(spark):
+    rows, nodes = _ran(units.alias_dictionary(spark, spark.createDataFrame([("million",), ("inthuosandsofusd",)], "s string")))
+    assert len(rows) == 2
+    sent = [node.metrics().get("numOutputRows").get().value() for kind, node in nodes if kind == "BroadcastExchange"]
+    assert sent and max(sent) <= len(units.alias_rows())  # of 298,730 postings each was a row
+
+
+def test_alias_index_holds_every_trigram(spark):
+    known = units.alias_rows()
+    cut = spark.createDataFrame([row[:1] for row in known], "alias string").select("alias", F.explode(units._trigrams(F.col("alias"))).alias("gram"))
+    assert {(known[i][0], gram) for gram, ids in units.alias_index(known).items() for i in ids} == {tuple(r) for r in cut.collect()}
+
+
+def test_amounts_are_converted_once_for_both_sides_of_the_join(spark):
+    rows = [("a", "d", "m", "2020", "2.5", "millions", "USD", None, None), ("b", "d", "m", "2020", "2,000", "thousands", "EUR", None, None)]
+    pairs, nodes = _ran(units.equal_amounts(_converted(spark, rows)))
+    assert {tuple(r) for r in pairs} == {("a", "b")}
+    joins = [kind for kind, _ in nodes if kind.endswith("Join")]
+    assert len(joins) == 1  # the rates and the dictionary were looked up before
